@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -80,21 +81,37 @@ def best_fit_decreasing(lengths: Iterable[int], window: int = WINDOW) -> tuple[l
     return places, offsets
 
 
+#: The split pattern of byte-level BPE files (fixed value; public_tokenizers.PATTERN states it too).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
     """Ids of a text under a byte-level BPE file of the tokenizers library, as little-endian uint32 bytes.
 
     Pieces between single spaces encode independently of their neighbours under this pre-tokenizer, so a worker encodes
-    each distinct piece once. Texts with white space on both sides of a space, or with the text of an added token, are
-    encoded whole. memo: the number of pieces that are remembered.
+    each distinct piece once: Latin pieces by tiktoken under the same vocabulary as ranks (the ids agree, it is faster),
+    others by the tokenizers library. Texts with white space on both sides of a space, or with the text of an added
+    token, are encoded whole by the library. memo: the number of pieces that are remembered.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special, letters = [t.content for t in added.values()], _byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if i not in added}
+        self.latin = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -111,11 +128,10 @@ class Encoder:
             pass
         if len(known) > self.memo:
             known.clear()
-        new = [x for x in dict.fromkeys(pieces) if x not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes()
+        encode = self.latin.encode_ordinary
+        for x in pieces:
+            if x not in known:
+                known[x] = array("I", encode(x)).tobytes() if not x or max(x) < "\u0250" else self.whole(x)
         return b"".join([known[x] for x in pieces])
 
 
