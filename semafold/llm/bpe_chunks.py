@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 #: A cut about every so many bytes (a power of two), from a hash of the last HASHED bytes.
 CHUNK, HASHED = 128, 8
 #: Chunks, and stretches without white space, that a worker remembers before it starts afresh.
-CHUNK_MEMO, WORD_MEMO = 60_000, 400_000
+CHUNK_MEMO, WORD_MEMO = 60_000, 700_000
 #: Python takes these for white space, the tokenizer doesn't: texts that hold one are encoded whole.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_LAST = re.compile(r"\S*")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,14 +62,22 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Many stretches in one call, an added token between them: the library splits there before anything else."""
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        for at in range(0, len(new), 2000):
+        """Stretches not known yet. A Latin-1 word and the stop or comma behind it are tokens of their own, whatever the case."""
+        known, stems = self.words, {}
+        for w in dict.fromkeys(words):
+            if w not in known:
+                stem = w[:-1] if w[-1] in ".," else w
+                stems[w] = (stem.lower(), w[len(stem) :]) if stem.isalpha() and max(stem) < "\u0100" else (w, "")
+        new = list(dict.fromkeys(x for pair in stems.values() for x in pair if x and x not in known))
+        for at in range(0, len(new), 2000):  # many in one call, an added token between them: the library splits there first
             part = new[at : at + 2000]
             ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            for w, piece in zip(part, np.split(ids, ends), strict=True):
-                self.words[w] = (piece[1:] if len(piece) and piece[0] == self.mark_id else piece).tobytes()
+            data, ends = ids.tobytes(), [-1, *np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            for w, left, right in zip(part, ends[:-1], ends[1:], strict=True):
+                known[w] = data[4 * left + 4 : 4 * right]
+        for w, (stem, stop) in stems.items():
+            if w not in known:
+                known[w] = known[stem] + (known[stop] if stop else b"")
 
     def stretches(self, text: str) -> bytes:
         """Ids of a text that has no added token: its stretches between white space, each encoded once."""
@@ -88,7 +97,7 @@ class ChunkEncoder:
         if got is None:
             if len(self.chunks) > CHUNK_MEMO:
                 self.chunks.clear()
-            head, tail = re.match(r"\S*", text).end(), re.search(r"\S*\Z", text).start()
+            head, tail = _LAST.match(text).end(), len(text) - _LAST.match(text[::-1]).end()
             got = self.chunks[text] = (self.stretches(text[head:tail]) if tail > head else b"", head, tail)
         return got
 
@@ -100,6 +109,9 @@ class ChunkEncoder:
         data = text.encode()
         if len(data) < 2 * self.chunk:
             return self.stretches(text)
+        if len(self.words) > WORD_MEMO:
+            self.words.clear()
+        self._learn(text.split())  # in one call; the chunks then find their stretches known
         out, open_, last = [], [], 0
         for end in [*cut_positions(data, self.chunk), len(data)]:
             while end < len(data) and data[end] & 0xC0 == 0x80:  # not inside a character

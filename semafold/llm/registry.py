@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from semafold.llm import exact_dedup, packing, sharding
+from semafold.llm import bpe_chunks, chat_format, exact_dedup, minhash_dedup, packing, sharding
 
-MODULES = [exact_dedup, packing, sharding]
+MODULES = [bpe_chunks, chat_format, exact_dedup, minhash_dedup, packing, sharding]
 
 
 def queries() -> dict:
