@@ -21,11 +21,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _series(r: int, size: int) -> np.ndarray:
+    out = np.full(size, r, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
         size = 1 << (n - 1).bit_length()
-        _POWERS, _INVERSES = (np.cumprod(np.concatenate(([1], np.full(size - 1, r, np.uint64))).astype(np.uint64), dtype=np.uint64) for r in (np.uint64(_R), np.uint64(pow(_R, -1, 1 << 64))))
+        _POWERS, _INVERSES = _series(_R, size), _series(pow(_R, -1, 1 << 64), size)
     return _POWERS[:n], _INVERSES[:n]
 
 
