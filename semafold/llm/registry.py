@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from semafold.llm import bpe_chunks, chat_format, exact_dedup, minhash_dedup, packing, sharding, suffix_dedup
+from semafold.llm import bpe_chunks, chat_format, exact_dedup, lm_score, minhash_dedup, packing, sharding, suffix_dedup
 
-MODULES = [bpe_chunks, chat_format, exact_dedup, minhash_dedup, packing, sharding, suffix_dedup]
+MODULES = [bpe_chunks, chat_format, exact_dedup, lm_score, minhash_dedup, packing, sharding, suffix_dedup]
 
 
 def queries() -> dict:
