@@ -6,8 +6,8 @@
    signatures, corrected for chance agreement (1 in 16), drop pairs that are far below the threshold.
 3. What is left is confirmed on full shingle sets, read again for the candidates only.
 4. Confirmed links give components. Band keys whose other members are still in different components are then compared
-   pair by pair across those components, in blocks of bounded size, and confirmed alike; so no pair that shares a band
-   key is lost, while a large group that its two pivots already connect costs only its own size.
+   on full sets across those components, in blocks of bounded size; so no link that shares a band key is lost, while a
+   large group that its two pivots already connect costs only its own size.
 
 A pair at the threshold shares a band key with probability 1 - (1 - 0.75^4)^32, over 0.99999.
 """
@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,35 +121,49 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
     return both.withColumn("i", common.cast("long")).filter(f"100 * i >= {percent} * (nu + nv - i)").select("u", "v")
 
 
-def cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members (key, id, component, sig) with one key and different components whose estimate is near the threshold."""
+def cross_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between members (key, id, component, s) of one key and different components, on their full sets s.
+
+    A key's members meet in blocks, each pair of blocks in a task: a set travels once a block, not once a pair."""
     counts = members.groupBy("key").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    placed = hot_join(members, counts, "key", "id")
+    placed = hot_join(members, counts.select("key", "blocks"), "key", "id")
     at = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     dealt = placed.withColumn("at", at).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = dealt.select("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "id", "component", "sig")
-    lane, need, chance = np.uint64(int("1" * (64 // BITS), 16)), threshold - MARGIN, 2.0**-BITS
-    most = int(np.floor(HASHES * (1 - (need * (1 - chance) + chance))))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = frame["lo"].iat[0], frame["hi"].iat[0]
-        ids, parts, sides = frame["id"].to_numpy(), frame["component"].to_numpy(), frame["at"].to_numpy()
-        sigs = np.stack(frame["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        out = []
-        rows = np.flatnonzero(sides == lo)
-        others = np.flatnonzero(sides == hi)
-        for i in rows:
-            x = sigs[others] ^ sigs[i]
-            for shift in range(1, BITS):
-                x = x | ((sigs[others] ^ sigs[i]) >> np.uint64(shift))
-            differ = np.bitwise_count(x & lane).sum(axis=1)
-            hit = others[(differ <= most) & (parts[others] != parts[i]) & ((ids[others] > ids[i]) if lo == hi else (ids[others] != ids[i]))]
-            out.append(np.stack([np.full(len(hit), ids[i]), ids[hit]], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        found.sort(axis=1)
-        return pd.DataFrame(found, columns=["u", "v"])
-
-    return tasks.groupBy("key", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
+    tasks = dealt.select("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "id", "component", "s")
+    percent = round(100 * threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, parts = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets = table.column("s").combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        begins = np.cumsum(sizes) - sizes
+        _, which = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(which.max(initial=-1) + 1, np.int32)
+        joined = {p: p for p in parts.tolist()}
+
+        def root(p: int) -> int:
+            while joined[p] != p:
+                p = joined[p]
+            return p
+
+        found = []
+        for i in range(len(ids)):
+            if len({root(p) for p in joined}) == 1:
+                break
+            own = which[begins[i] : begins[i] + sizes[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[which], begins)
+            mark[own] = 0
+            hits = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (parts != parts[i]))
+            for j in hits.tolist():
+                a, b = root(int(parts[i])), root(int(parts[j]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    found.append((ids[i], ids[j]))
+        u, v = ([int(x[k]) for x in found] for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return tasks.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -182,12 +195,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     inner = shared.filter("c > 2 and id <> lo and id <> hi").select("key", "id")
     inner = inner.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    spread = inner.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    members = hot_join(inner, spread, "key", "id").join(sigs, "id")
-    more = materialise(cross_pairs(materialise(members, "members"), threshold).join(near, ["u", "v"], "left_anti"), "cross-pairs")
-    if not more.isEmpty():
-        further = materialise(confirmed(docs, more, id_col, text_col, words, threshold), "links")
-        labels = components(links.union(further))
+    spread = inner.groupBy("key", salt("id").alias("s")).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    spread = spread.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("c").alias("c"), F.sum("sum").alias("sum")).filter("a <> b")
+    members = materialise(hot_join(inner, spread.dropDuplicates(["c", "sum"]).select("key"), "key", "id"), "members")  # keys with the same members are one
+    if not members.isEmpty():
+        sets = sets_of(docs, materialise(members.select("id").distinct(), "member-ids"), id_col, text_col, words)
+        labels = components(links.union(materialise(cross_links(members.join(sets.select("id", "s"), "id"), threshold), "links")))
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     linked = hot_join(full.select("id", "n", "digest"), of_class, "digest", "id").select("id", "n", "component_id")
