@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from semafold.llm import bpe_chunks, chat_format, exact_dedup, lm_score, minhash_dedup, packing, sharding, suffix_dedup, toxicity
+from semafold.llm import ann, bpe_chunks, chat_format, exact_dedup, lm_score, minhash_dedup, packing, sharding, suffix_dedup, toxicity
 
-MODULES = [bpe_chunks, chat_format, exact_dedup, lm_score, minhash_dedup, packing, sharding, suffix_dedup, toxicity]
+MODULES = [ann, bpe_chunks, chat_format, exact_dedup, lm_score, minhash_dedup, packing, sharding, suffix_dedup, toxicity]
 
 
 def queries() -> dict:
