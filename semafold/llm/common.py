@@ -55,6 +55,14 @@ def with_survivor_flag(df: DataFrame, bits: DataFrame, key: Column, flag: str) -
     return joined.withColumn(flag, hit).drop("_word", "_at", "_bits")
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone (one column). Rows that the survivor bits clear are not moved at all."""
+    gone = materialise(gone.toDF("_gone").distinct(), "gone")
+    flagged = with_survivor_flag(docs, survivor_bits(gone, F.col("_gone")), F.col(id_col).cast("long"), "_flag")
+    rest = flagged.filter("_flag").drop("_flag")
+    return flagged.filter("not _flag").drop("_flag").unionByName(rest.join(gone, rest[id_col] == gone["_gone"], "left_anti"))
+
+
 def salt(column: str, parts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)).cast("int")
 

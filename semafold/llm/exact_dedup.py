@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import materialise, salt, survivor_bits, with_survivor_flag
+from semafold.llm.common import materialise, salt, survivor_bits, with_survivor_flag, without
 
 PREFIX_BYTES = 128
 
@@ -51,8 +51,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that find_copies() gives up; every column stays as it is."""
-    gone = find_copies(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    found = find_copies(docs, id_col, text_col)
+    return without(docs, found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col), id_col)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import components, hot_join, materialise, salt, survivor_bits, text_bytes, with_survivor_flag
+from semafold.llm.common import components, hot_join, materialise, salt, survivor_bits, text_bytes, with_survivor_flag, without
 from semafold.llm.shingles import WORDS, mix, shingle_set
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_duplicates() doesn't keep; every column stays as it is."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    found = near_duplicates(docs, id_col, text_col)
+    return without(docs, found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col), id_col)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,7 @@ class Bucket:
         ids = table.column("id").to_pylist()
         data = [b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, data[i]))
+        self.order = order
         self.ids, data = [ids[i] for i in order], [data[i] for i in order]
         self.text = np.frombuffer(b"".join(data), np.uint8)
         self.bounds = np.cumsum([0, *map(len, data)])
@@ -277,7 +278,12 @@ def _last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         spans.append(edges.tolist())
         kept.append(text[~own].tobytes() if len(edges) else text.tobytes())
         sizes.append(b - a)
-    return pa.table({"id": pa.array(bucket.ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
+    out = {"id": pa.array(bucket.ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())}
+    if "rest" in left.column_names:
+        null = left.column("text").is_null().to_pylist()
+        texts = [None if null[i] else k.decode(errors="ignore") for i, k in zip(bucket.order, kept, strict=True)]
+        out = {"rest": left.column("rest").take(pa.array(bucket.order, pa.int64())).combine_chunks(), "text": pa.array(texts, pa.string())}
+    return pa.table(out)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -287,29 +293,29 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows keep their texts; a null id takes no part and keeps its text. Other columns are not read; an empty table gives an
     empty result. kept may end inside a UTF-8 character, as matches are of bytes.
     """
+    done = _run(docs, id_col, text_col, bucket_bytes, [], "id long, n_bytes long, spans array<long>, kept binary")
+    return done.withColumnRenamed("id", id_col)
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str) -> DataFrame:
     buckets = max(1, -(-total_bytes(docs, text_col) // bucket_bytes))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(buckets))
-    dealt = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    dealt = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
     sent = dealt.groupBy("bucket").applyInArrow(_first_pass(buckets), "part long, bucket long, ids binary, keys binary")
     verdicts = sent.groupBy("part").applyInArrow(_verdicts, "bucket long, part long, verdicts binary")
     doubt = dealt.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(_second_pass(buckets), "part long, bucket long, ids binary, places binary, text binary, settled binary")
     edges = doubt.groupBy("part").applyInArrow(_edges, "bucket long, settled binary, masks binary")
-    return dealt.groupBy("bucket").cogroup(edges.groupBy("bucket")).applyInArrow(_last_pass, "id long, n_bytes long, spans array<long>, kept binary").withColumnRenamed("id", id_col)
-
-
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages taken out of the text; broken characters at the cuts go. Rows whose id repeats or is null stay as they are."""
+    return dealt.groupBy("bucket").cogroup(edges.groupBy("bucket")).applyInArrow(_last_pass, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [v.decode(errors="ignore") for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "_text"])
 
-    changed = find_repeats(docs, id_col, text_col).filter("size(spans) > 0").select(id_col, "kept").dropDuplicates([id_col])
-    cleaned = changed.mapInArrow(run, "_id long, _text string")
-    joined = docs.join(cleaned, docs[id_col] == F.col("_id"), "left")
-    text = F.when(F.col("_id").isNull(), docs[text_col]).otherwise(F.col("_text"))
-    return joined.select(*[(text.alias(c) if c == text_col else docs[c]) for c in docs.columns])
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """docs with repeated passages taken out of the text, every other column as it is; characters that a cut breaks go too.
+    A text with nothing left stays as an empty one; a null text stays null. The text is moved once, with its row."""
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*others)
+    kind = docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString()
+    done = _run(docs, id_col, text_col, bucket_bytes, [rest.alias("rest")], f"rest {kind}, text string")
+    return done.select(*[(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c)) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,11 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that score 0.5 or more; every column stays as it is."""
+    return score_texts(docs, *train(docs, labels.filter(~fold()))).filter("toxicity < 0.5").drop("toxicity")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~fold())
