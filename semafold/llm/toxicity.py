@@ -43,12 +43,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 LETTERS = 27  # a to z, and anything else
 
 
-def letter_counts(data: bytes) -> np.ndarray:
-    """Counts of letter triples (27 cubed) of a text."""
-    table = np.zeros(256, np.int64)
-    table[97:123] = np.arange(1, 27)
-    c = table[np.frombuffer(data.lower(), np.uint8)]
-    return np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=LETTERS**3) if len(c) > 2 else np.zeros(LETTERS**3, np.int64)
+_LETTER = np.zeros(256, np.int32)
+_LETTER[97:123] = np.arange(1, 27)
+
+
+def letter_counts(data: bytes, strip: int = 1 << 18) -> np.ndarray:
+    """Counts of letter triples (27 cubed) of a text, in strips so that memory doesn't follow its length."""
+    out = np.zeros(LETTERS**3, np.int64)
+    for at in range(0, len(data) - 2, strip):
+        c = _LETTER[np.frombuffer(data[at : at + strip + 2].lower(), np.uint8)]
+        out += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=LETTERS**3)
+    return out
 
 
 def learn_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -57,9 +62,8 @@ def learn_letters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
         for batch in batches:
-            for data in text_bytes(batch, "text"):
-                total += letter_counts(b" " + data + b" ") if len(data) > 20_000 else 0
-            total += letter_counts(b"  ".join(x for x in text_bytes(batch, "text") if len(x) <= 20_000))
+            for held in range(0, batch.num_rows, 256):
+                total += letter_counts(b"  ".join([b"", *text_bytes(batch.slice(held, 256), "text"), b""]))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
