@@ -30,8 +30,8 @@ from semafold.llm.common import total_bytes
 from semafold.llm.shingles import _powers, mix
 
 MATCH, KGRAM = 50, 20
-#: Text of a bucket, which a task holds at a time (a longer document is a bucket's load of its own).
-BUCKET_BYTES = 6 << 20
+#: Text of a bucket, which a task holds at a time (a longer document is a bucket's load of its own), and of a part.
+BUCKET_BYTES, PART_BYTES = 12 << 20, 5 << 20
 _SPAN = MATCH - KGRAM + 1
 _AT = np.uint64((1 << 28) - 1)
 _TILE = 1 << 16
@@ -39,23 +39,18 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 
 def kgram_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of the KGRAM bytes at each position but the last KGRAM - 1, tile by tile so that it stays in cache."""
-    n = len(text) - KGRAM + 1
-    out = np.empty(n, np.uint64)
-    raw = text.tobytes()
-    for at in range(0, n, _TILE):
-        size = min(_TILE, n - at)
-        u = np.array(np.ndarray(size + 12, "<u8", raw, at, (1,)))
-        h = u[:size] * _C[0]
-        h ^= h >> np.uint64(32)
-        h += u[8 : size + 8] * _C[1]
-        h *= _C[2]
-        h ^= h >> np.uint64(29)
-        h += u[12 : size + 12] * _C[3]
-        h *= _C[0]
-        h ^= h >> np.uint64(32)
-        out[at : at + size] = h
-    return out
+    """A hash of the KGRAM bytes at each position but the last KGRAM - 1."""
+    size = len(text) - KGRAM + 1
+    u = np.array(np.ndarray(size + 12, "<u8", text.tobytes(), 0, (1,)))
+    h = u[:size] * _C[0]
+    h ^= h >> np.uint64(32)
+    h += u[8 : size + 8] * _C[1]
+    h *= _C[2]
+    h ^= h >> np.uint64(29)
+    h += u[12 : size + 12] * _C[3]
+    h *= _C[0]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 class Bucket:
@@ -73,33 +68,41 @@ class Bucket:
 
     def cut(self) -> None:
         """starts, counts: the first window and number of windows of each stretch; doc: its document; key: its 64 bits."""
-        text, n = self.text, len(self.text)
-        if n < MATCH:
-            self.doc, self.key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            return
-        hashed = kgram_hashes(text)
-        least = (hashed & ~_AT) | np.arange(len(hashed), dtype=np.uint64)
-        for step in (1, 2, 4, 8):
-            least = np.minimum(least[:-step], least[step:])
-        least = np.minimum(least[: len(least) - (_SPAN - 16)], least[_SPAN - 16 :])
-        at = (least & _AT).astype(np.int64)  # of each window the leftmost least k-gram
-        valid = np.ones(len(at), bool)
-        for b in self.bounds[1:-1]:
-            valid[max(0, b - MATCH + 1) : b] = False
-        if None in self.ids:
-            valid[: self.bounds[self.ids.count(None)]] = False
-        change = np.flatnonzero((at[1:] != at[:-1]) | (valid[1:] != valid[:-1])) + 1
-        starts = np.concatenate(([0], change))
-        counts = np.diff(np.concatenate((starts, [len(at)])))
-        keep = valid[starts]
-        self.starts, self.counts = starts[keep], counts[keep]
+        text, windows = self.text, len(self.text) - MATCH + 1
+        found: list[list[np.ndarray]] = [[], [], []]  # where a stretch begins, whether its windows lie in one text, its hash
+        before = (-1, True)
+        edges, nulls = self.bounds[1:-1], self.bounds[self.ids.count(None)]
+        for base in range(0, windows, _TILE):  # in strips that stay in cache
+            size = min(_TILE, windows - base)
+            hashed = kgram_hashes(text[base : base + size + MATCH - 1])
+            least = (hashed & ~_AT) | np.arange(len(hashed), dtype=np.uint64)
+            for step in (1, 2, 4, 8):
+                least = np.minimum(least[:-step], least[step:])
+            least = np.minimum(least[: len(least) - (_SPAN - 16)], least[_SPAN - 16 :])
+            at = (least & _AT).astype(np.int64)  # of each window the leftmost least k-gram
+            valid = np.ones(size, bool)
+            for b in edges[np.searchsorted(edges, base, "right") : np.searchsorted(edges, base + size + MATCH - 1)].tolist():
+                valid[max(0, b - MATCH + 1 - base) : max(0, b - base)] = False
+            valid[: max(0, nulls - base)] = False
+            same = np.concatenate(([before == (at[0] + base, valid[0])], (at[1:] == at[:-1]) & (valid[1:] == valid[:-1])))
+            new = np.flatnonzero(~same)
+            before = (at[-1] + base, valid[-1])
+            for into, part in zip(found, (new + base, valid[new], hashed[at[new]]), strict=True):
+                into.append(part)
+        starts, keep, small = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        counts = np.diff(np.concatenate((starts, [max(windows, 0)])))
+        keep = keep.astype(bool)
+        self.starts, self.counts, small = starts[keep], counts[keep], small[keep].astype(np.uint64)
         self.doc = np.searchsorted(self.bounds, self.starts, "right") - 1
-        small = hashed[at[self.starts]]
-        power, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((text + np.uint64(1)) * power[:n], out=sums[1:])
-        ends = self.starts + self.counts + MATCH - 1
-        whole = mix((sums[ends] - sums[self.starts]) * inverse[self.starts] + self.counts.astype(np.uint64))
+        whole = np.zeros(len(self.starts), np.uint64)
+        power, inverse = _powers(_TILE + _SPAN + MATCH + 1)
+        cuts = np.searchsorted(self.starts, np.arange(0, max(windows, 0) + _TILE, _TILE))
+        for base, i, j in zip(range(0, max(windows, 0), _TILE), cuts[:-1], cuts[1:], strict=False):
+            part = text[base : base + _TILE + _SPAN + MATCH]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[1:])
+            begin, count = self.starts[i:j] - base, self.counts[i:j]
+            whole[i:j] = mix((sums[begin + count + MATCH - 1] - sums[begin]) * inverse[begin] + count.astype(np.uint64))
         self.key = (small & ~np.uint64(0xFFFFFFFF)) | (whole >> np.uint64(32))
 
     def sent(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -298,12 +301,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str) -> DataFrame:
-    buckets = max(1, -(-total_bytes(docs, text_col) // bucket_bytes))
+    total = total_bytes(docs, text_col)
+    buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(buckets))
     dealt = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
-    sent = dealt.groupBy("bucket").applyInArrow(_first_pass(buckets), "part long, bucket long, ids binary, keys binary")
+    sent = dealt.groupBy("bucket").applyInArrow(_first_pass(parts), "part long, bucket long, ids binary, keys binary")
     verdicts = sent.groupBy("part").applyInArrow(_verdicts, "bucket long, part long, verdicts binary")
-    doubt = dealt.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(_second_pass(buckets), "part long, bucket long, ids binary, places binary, text binary, settled binary")
+    doubt = dealt.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(_second_pass(parts), "part long, bucket long, ids binary, places binary, text binary, settled binary")
     edges = doubt.groupBy("part").applyInArrow(_edges, "bucket long, settled binary, masks binary")
     return dealt.groupBy("bucket").cogroup(edges.groupBy("bucket")).applyInArrow(_last_pass, schema)
 
