@@ -86,31 +86,21 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", parts: int = SALTS) -> DataFrame:
-    """left joined to right, which has one row a key, without gathering the rows of one key in one task.
-
-    left's rows are dealt by (key, salt of `by`); right's row of a key is first carried to the salts that occur, at most
-    `parts` of them. For rows whose `by` values are spread, a key with a third of all rows fills `parts` tasks."""
-    salted = left.withColumn("_salt", salt(by, parts))
-    places = salted.select(key, "_salt").distinct().join(right, key)
-    return salted.join(places, [key, "_salt"], how).drop("_salt")
-
-
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in links (u, v): component is the smallest id reachable. Contraction in rounds.
-
-    Each round sends every node to its smallest neighbour (or itself) and rewrites the links accordingly; hubs are hot
-    keys and are joined as such. Links shrink by a factor a round; nothing is gathered on the driver but "is any left"."""
-    edges = materialise(links.filter("u <> v").select("u", "v").distinct(), "links")
-    nodes = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    labels = materialise(nodes.withColumn("component", F.col("id")), "labels")
-    while not edges.isEmpty():
-        both = edges.select(F.col("u").alias("at"), F.col("v").alias("to")).union(edges.select("v", "u"))
-        least = materialise(both.groupBy("at").agg(F.min("to").alias("to")).select("at", F.least("at", "to").alias("p")), "least")
-        labels = materialise(
-            hot_join(labels.withColumnRenamed("component", "at"), least, "at", "id", "left").select("id", F.coalesce("p", "at").alias("component")), "labels"
-        )
-        first = hot_join(edges.withColumnRenamed("u", "at"), least, "at", "v").select(F.col("p").alias("u"), F.col("v").alias("at"))
-        second = hot_join(first, least, "at", "u").select("u", F.col("p").alias("v"))
-        edges = materialise(second.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    return labels
+    """(id, component) for every id in links (u, v): component is the smallest id reachable.
+
+    In each round every node finds the smallest of its neighbours and itself, and all its neighbours are linked to that one
+    instead, until the links are stars around the smallest ids. A hub is a hot key of the join: both its sides are written
+    tables, so adaptive execution splits it. Nothing is gathered on the driver but a count and a checksum."""
+    stars, state = links.filter("u <> v").select("u", "v").distinct(), None
+    while True:
+        stars = materialise(stars, "links")
+        now = stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if now == state or not now[0]:
+            break
+        state = now
+        both = stars.union(stars.select("v", "u"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        told = both.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("v"), "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.m", "x.v")
+        stars = told.filter("m <> v").select(F.col("m").alias("u"), "v").distinct()
+    return materialise(stars.select(F.col("v").alias("id"), F.col("u").alias("component")).union(stars.select("u", "u")).distinct(), "components")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import components, hot_join, materialise, salt, survivor_bits, text_bytes, with_survivor_flag, without
+from semafold.llm.common import components, materialise, survivor_bits, text_bytes, with_survivor_flag, without
 from semafold.llm.shingles import WORDS, mix, shingle_set
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -91,6 +91,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "n", "s"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = materialise(ids, "ids")
     near = with_survivor_flag(picked, survivor_bits(ids, F.col("id")), F.col("id"), "f").filter("f").select("id", "text")
     return materialise(near.mapInArrow(run, "id long, n long, s array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
@@ -111,11 +112,11 @@ def estimate(a: Column, b: Column) -> Column:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
     """Those of pairs (u, v) whose full sets are as similar as threshold says."""
-    ids = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "pair-ids")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = sets_of(docs, ids, id_col, text_col, words)
     left = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
     right = sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"))
-    both = hot_join(hot_join(pairs, left, "u", "v"), right, "v", "u")
+    both = pairs.join(left, "u").join(right, "v")  # written tables on either side: adaptive execution splits a hot pivot
     common = F.size(F.array_intersect("su", "sv"))
     percent = round(100 * threshold)
     return both.withColumn("i", common.cast("long")).filter(f"100 * i >= {percent} * (nu + nv - i)").select("u", "v")
@@ -126,7 +127,7 @@ def cross_links(members: DataFrame, threshold: float) -> DataFrame:
 
     A key's members meet in blocks, each pair of blocks in a task: a set travels once a block, not once a pair."""
     counts = members.groupBy("key").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    placed = hot_join(members, counts.select("key", "blocks"), "key", "id")
+    placed = members.join(materialise(counts.select("key", "blocks"), "blocks"), "key")
     at = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     dealt = placed.withColumn("at", at).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tasks = dealt.select("key", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "id", "component", "s")
@@ -176,34 +177,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialise(features(docs, id_col, text_col, words), "minhash")
     full = rows.filter("n > 0")
-    parts = full.groupBy("digest", salt("id").alias("s")).agg(F.min("id").alias("rep"))
-    classes = materialise(parts.groupBy("digest").agg(F.min("rep").alias("rep")), "classes")
+    classes = materialise(full.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = materialise(full.join(classes, (full["id"] == classes["rep"]) & (full["digest"] == classes["digest"]), "left_semi").select("id", "sig", "bands").dropDuplicates(["id"]), "reps")
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    ends = entries.groupBy("key", salt("id").alias("s")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"))
-    keys = ends.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("c")).filter("c > 1")
-    shared = materialise(hot_join(entries, keys, "key", "id"), "shared-keys")
+    keys = materialise(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("c > 1"), "keys")
+    shared = materialise(entries.join(keys, "key"), "shared-keys")  # a hot key is split by adaptive execution, as both sides are written tables
     to_ends = shared.select("id", F.explode(F.array("lo", "hi")).alias("end")).filter("id <> end")
-    pairs = to_ends.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct()
+    pairs = materialise(to_ends.select(F.least("id", "end").alias("u"), F.greatest("id", "end").alias("v")).distinct(), "pairs")
     sigs = reps.select("id", "sig")
-    signed = hot_join(pairs, sigs.toDF("u", "su"), "u", "v")
-    signed = hot_join(signed, sigs.toDF("v", "sv"), "v", "u")
+    signed = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v")
     near = materialise(signed.filter(estimate(F.col("su"), F.col("sv")) >= threshold - MARGIN).select("u", "v"), "near-pairs")
-    links = materialise(confirmed(docs, near, id_col, text_col, words, threshold), "links")
-    labels = components(links)
+    labels = components(confirmed(docs, near, id_col, text_col, words, threshold))
 
     inner = shared.filter("c > 2 and id <> lo and id <> hi").select("key", "id")
     inner = inner.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    spread = inner.groupBy("key", salt("id").alias("s")).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
-    spread = spread.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("c").alias("c"), F.sum("sum").alias("sum")).filter("a <> b")
-    members = materialise(hot_join(inner, spread.dropDuplicates(["c", "sum"]).select("key"), "key", "id"), "members")  # keys with the same members are one
-    if not members.isEmpty():
-        sets = sets_of(docs, materialise(members.select("id").distinct(), "member-ids"), id_col, text_col, words)
-        labels = components(links.union(materialise(cross_links(members.join(sets.select("id", "s"), "id"), threshold), "links")))
+    inner = materialise(inner, "inner")
+    spread = inner.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("a <> b")
+    spread = materialise(spread.groupBy("c", "sum").agg(F.min("key").alias("key")).select("key"), "spread")  # keys with the same members are one
+    if not spread.isEmpty():
+        members = materialise(inner.join(spread, "key"), "members")
+        sets = sets_of(docs, members.select("id").distinct(), id_col, text_col, words)
+        further = materialise(cross_links(members.join(sets.select("id", "s"), "id"), threshold), "links")
+        if not further.isEmpty():
+            labels = components(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).union(further))
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    linked = hot_join(full.select("id", "n", "digest"), of_class, "digest", "id").select("id", "n", "component_id")
+    linked = full.select("id", "n", "digest").join(materialise(of_class, "class-components"), "digest").select("id", "n", "component_id")
     out = linked.union(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.expr("id <=> component_id").alias("kept"))
 
