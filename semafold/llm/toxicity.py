@@ -152,7 +152,7 @@ class Evidence:
 
     def __init__(self, letters: np.ndarray, lexicon: dict[str, float]):
         self.letters, self.lexicon, self.known = letters, lexicon, {}
-        self.inner = [w for w, p in lexicon.items() if p >= 0.5 and len(w) > 3 and not w.endswith("*")]
+        self.inner = [w for w, p in lexicon.items() if p >= 0.3 and len(w) > 3 and not w.endswith("*")]
 
     def of(self, token: str) -> float:
         got = self.known.get(token)
@@ -163,17 +163,15 @@ class Evidence:
         return got
 
     def score(self, text: str) -> float:
-        """Noisy-or of the tokens that are even odds or better; else the strongest one's share."""
+        """Noisy-or of the evidence of the distinct tokens."""
         tokens = text.lower().split()
         known = self.known
         found = [v if (v := known.get(t)) is not None else self.of(t) for t in set(tokens)]
         if any(map(_SINGLE, tokens)):
             for run in spaced_out(tokens):
                 found += [self.lexicon[w] for r in readings(run, self.letters) for w in self.inner if w in r]
-        strong = [v for v in found if v >= 0.5]
-        if strong:
-            return 1.0 - math.exp(sum(math.log1p(-v) for v in strong))
-        return max(NO_EVIDENCE, max(found, default=0.0))
+        doubt = sum(math.log1p(-v) for v in found if v)
+        return max(NO_EVIDENCE, 1.0 - math.exp(doubt))
 
 
 def _SINGLE(token: str) -> bool:
@@ -183,9 +181,9 @@ def _SINGLE(token: str) -> bool:
 def learn_lexicon(docs: DataFrame, labels: DataFrame, letters: np.ndarray, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
     """Evidence (0 to 1) of each feature that toxic texts have, from at most `sample` labelled rows.
 
-    Copies would lend chance words weight, so texts that share one of SKETCHES min-hashes of their shingles count once. A feature seen in
-    t toxic and c other texts has t / (t + c + t0), where t0 is how many all-toxic texts chance alone would bring about
-    BY_CHANCE features to. Without rows of both labels the lexicon is empty.
+    Copies would lend chance words weight, so texts that share one of SKETCHES min-hashes of their shingles count once. A
+    feature seen in t toxic and c other texts needs t >= t0, the number of all-toxic texts that chance alone would bring
+    about BY_CHANCE features to, and has t / (t + c + t0), less where others use it. Without rows of both labels the lexicon is empty.
     """
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     chosen = materialise(picked.orderBy(F.xxhash64("_id"), "_id").limit(sample), "labelled")
@@ -224,8 +222,25 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, letters: np.ndarray, sampl
         return {}
     often = table.filter("feature <> '' and t + c >= 5").count()
     least = max(3.0, math.log(max(often, 1) / BY_CHANCE) / math.log((t + c) / t))
-    p = F.col("t") / (F.col("t") + F.col("c") + F.lit(least))
-    return {f: v for f, v in table.filter("feature <> ''").select("feature", p.alias("p")).filter("p >= 0.1").orderBy(F.desc("p"), "feature").limit(LEXICON).collect()}
+    rows = table.filter(F.col("t") >= least).filter("feature <> '' and t > c").orderBy(F.desc("t"), "feature").limit(LEXICON).collect()
+    return weighed({r.feature: (r.t, r.c) for r in rows}, least)
+
+
+def weighed(counts: dict[str, tuple[int, int]], least: float) -> dict[str, float]:
+    """Evidence from counts (toxic, other). A beginning that others share answers for what its commonest word leaves over."""
+    commonest: dict[str, tuple[int, int]] = {}
+    for f, n in counts.items():
+        for length in PREFIXES if not f.endswith("*") else ():
+            if len(f) > length:
+                commonest[f"{f[:length]}*"] = max(n, commonest.get(f"{f[:length]}*", (0, 0)))
+    out = {}
+    for f, (t, c) in counts.items():
+        word = commonest.get(f, (0, 0))
+        if c > word[1] and t >= word[0]:
+            t, c = t - word[0], c - word[1]
+        if t >= least:
+            out[f] = t / (t + c + least) * (t / (t + c)) ** 2
+    return out
 
 
 def score_texts(docs: DataFrame, letters: np.ndarray, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

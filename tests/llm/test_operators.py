@@ -247,13 +247,20 @@ def test_restoration_and_scores(spark):
     assert toxicity.score_texts(none, *toxicity.train(none, labels)).count() == 0
 
 
+def test_evidence_of_beginnings():
+    got = toxicity.weighed({"loser": (100, 0), "lose*": (100, 20), "lowe*": (90, 0), "loweab": (20, 0), "weak": (3, 0)}, 6.0)
+    assert got["loser"] > 0.9 and got["lowe*"] > 0.9 and "lose*" not in got and "weak" not in got
+    doubtful = toxicity.weighed({"some*": (60, 30)}, 6.0)["some*"]
+    assert 0.1 < doubtful < 0.5
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(labels[r.doc_id], r.predicted) for r in toxicity.op3_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
     found = sum(p for t, p in held if t) / sum(t for t, _ in held)
     alarms = sum(p for t, p in held if not t) / sum(1 - t for t, _ in held)
-    assert found > 0.9 and alarms < 0.05
+    assert found > 0.85 and alarms < 0.02
 
 
 # nearest neighbours
