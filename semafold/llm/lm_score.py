@@ -3,14 +3,15 @@
 Counts of words and word pairs are gathered in one shuffle, pre-aggregated in each task. A count enters the filter as
 its quantised logarithm q: the n-gram is inserted q times, as (n-gram, 1) ... (n-gram, q). A scorer probes levels upwards
 until one is missing, which gives q back; counts estimated this way give smoothed probabilities. The filter is a block
-for each part of the hash space, built where the part was counted; the driver only joins the blocks, and broadcasts them.
+for each part of the hash space, built where the part was counted and sized by what enters it, so that its false positives
+are the same at all sizes. Blocks are never gathered: they are probed where they are stored.
 
 The events are those of the add-one base score: the words of the training texts, the end, and one for any other word.
 The probability of w after v is  PAIR * c(v, w) / c(v) + (1 - PAIR) * p(w)  (p(w) alone after a v not seen). Any other
 word has the share that words seen once have of the training tokens; known words share the rest by their counts.
 
-The base score needs exact counts of every word. They are never gathered anywhere: each bucket of documents asks the
-parts for the counts of its distinct words.
+The base score needs exact counts of every word. They are not gathered anywhere either: each bucket of documents asks the
+parts for the counts and levels of its distinct words, and for the levels of its distinct pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from semafold.llm.shingles import mix, word_hashes
 
 #: Text of a bucket, and of a part of the hash space.
 BUCKET_BYTES = 8 << 20
-#: Filter bits for an insertion, probes, and the largest filter: 64 MB. Over that every n-gram still enters, at more false positives.
-BITS_EACH, PROBES, MOST_BITS = 12, 4, 1 << 29
+#: Filter bits for an insertion (up to twice as many, as blocks are powers of two), and probes.
+BITS_EACH, PROBES = 12, 4
 #: Levels are powers of BASE; pairs seen less often than PAIR_LEAST stay out.
 BASE, PAIR_LEAST, PAIR = 1.5, 2, 0.2
 END = np.uint64(0x5851F42D4C957F2D)
@@ -126,7 +127,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """A part's exact word counts; the keys and levels that enter the filter."""
+    """A part's exact word counts, and its block of the filter."""
     kinds = np.array(table.column("kind").to_pylist())
     blobs = list(zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True))
     own = [b for k, b in zip(kinds, blobs, strict=True) if k == WORDS_KIND]
@@ -139,16 +140,18 @@ def _total(table: pa.Table) -> pa.Table:
     pairs, seen = _summed(keys, sums)
     often = seen >= PAIR_LEAST
     keys, levels = np.concatenate((word_key(words), pairs[often])), np.concatenate((level(counts), level(seen[often])))
+    inserts = int(levels.sum())
+    bits = max(1024, 1 << (max(1, inserts * BITS_EACH) - 1).bit_length())
     cells = {
         "part": (table.column("part")[0].as_py(), pa.int64()), "words": (words.tobytes(), pa.binary()), "counts": (counts.tobytes(), pa.binary()),
-        "grams": (_six(keys), pa.binary()), "levels": (levels.astype("u1").tobytes(), pa.binary()), "inserts": (int(levels.sum()), pa.int64()),
+        "block": (Filter(1, bits).build(keys, levels), pa.binary()), "inserts": (inserts, pa.int64()),
         "tokens": (int(counts.sum()), pa.int64()), "types": (len(words), pa.int64()), "once": (int((counts == 1).sum()), pa.int64()),
         "mass": (float(VALUES[level(counts)].sum()) if len(counts) else 0.0, pa.float64()),
     }
     return pa.table({k: pa.array([v], t) for k, (v, t) in cells.items()})
 
 
-TOTALS = "part long, words binary, counts binary, grams binary, levels binary, inserts long, tokens long, types long, once long, mass double"
+TOTALS = "part long, words binary, counts binary, block binary, inserts long, tokens long, types long, once long, mass double"
 
 
 class Filter:
@@ -182,96 +185,100 @@ class Filter:
             out[left] = q
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts; each distinct key is probed once."""
-        found, which = np.unique(keys, return_inverse=True)
-        return VALUES[self.levels(found)][which]
-
 
 class Model:
-    """Totals of the training texts and the filter on its way to the workers."""
-
-    def __init__(self, spark: SparkSession, totals: DataFrame, parts: int):
-        sums = totals.agg(*[F.sum(c) for c in ("tokens", "types", "once", "mass", "inserts")]).first()
-        self.tokens, self.types, once, mass, inserts = (x or 0 for x in sums)
-        bits = max(1024, 1 << (max(1, inserts * BITS_EACH // parts) - 1).bit_length())
-        while bits * parts > MOST_BITS and bits > 1024:
-            bits //= 2
-        self.parts, self.bits = parts, bits
+    """Totals of the training texts."""
+
+    def __init__(self, totals: DataFrame, parts: int):
+        sums = totals.agg(*[F.sum(c) for c in ("tokens", "types", "once", "mass")]).first()
+        self.tokens, self.types, once, mass = (x or 0 for x in sums)
+        self.parts = parts
         self.unknown = min(0.5, max(once, 1) / max(self.tokens, 1))  # what words seen once hint is new
         self.mass = max(mass, 1.0)
 
-        def build(table: pa.Table) -> pa.Table:
-            keys, levels = _from_six(table.column("grams")[0].as_py()), np.frombuffer(table.column("levels")[0].as_py(), "u1")
-            return pa.table({"part": table.column("part"), "block": pa.array([Filter(parts, bits).build(keys, levels)], pa.binary())})
-
-        data = np.zeros(parts * bits // 8, np.uint8)
-        for part, block in totals.select("part", "grams", "levels").groupBy("part").applyInArrow(build, "part long, block binary").collect():
-            data[part * bits // 8 : (part + 1) * bits // 8] = np.frombuffer(block, np.uint8)  # at most MOST_BITS in all
-        self.data = spark.sparkContext.broadcast(data)
-
-    def filter(self) -> Filter:
-        return Filter(self.parts, self.bits, self.data.value)
-
 
 def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) -> tuple[Model, DataFrame]:
-    """The model of all texts of docs, and the parts with exact word counts."""
+    """The model of all texts of docs, and the parts with exact word counts and filter blocks."""
     parts = parts or max(1, -(-total_bytes(docs, text_col) // BUCKET_BYTES))
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(parts), "part long, kind int, keys binary, counts binary")
     totals = materialise(counted.groupBy("part").applyInArrow(_total, TOTALS), "lm-totals")
-    return Model(docs.sparkSession, totals, parts), totals.select("part", "words", "counts")
+    return Model(totals, parts), totals.select("part", "words", "counts", "block")
+
 
+class Dealt:
+    """Distinct keys in the order of their parts, which a bucket's question and its score both go by."""
 
-def _distinct_words(table: pa.Table) -> tuple[Tokens, np.ndarray, np.ndarray]:
-    tokens = Tokens([b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()])
-    words, which = np.unique(tokens.hashes, return_inverse=True)
-    return tokens, words, which
+    def __init__(self, keys: np.ndarray, parts: int):
+        part = (keys % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
+
+    def of(self, part: int) -> np.ndarray:
+        """Where the keys of a part are."""
+        return self.order[self.cuts[part] : self.cuts[part + 1]]
+
+
+class Grams:
+    """Tokens of a bucket, its distinct words and pairs, and how they are dealt to parts. The order of the rows has no effect on the last."""
+
+    def __init__(self, table: pa.Table, parts: int):
+        self.tokens = Tokens([b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()])
+        self.words, self.which = np.unique(self.tokens.hashes, return_inverse=True)
+        self.inner = np.flatnonzero(~self.tokens.first)
+        self.pairs, self.which_pair = np.unique(pair_key(self.tokens.hashes[self.inner - 1], self.tokens.hashes[self.inner]), return_inverse=True)
+        self.by_word, self.by_pair = Dealt(word_key(self.words), parts), Dealt(self.pairs, parts)
 
 
 def _ask(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        _, words, _ = _distinct_words(table)
-        part = (word_key(words) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, words[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in range(parts) if cuts[p] < cuts[p + 1]]
+        held = Grams(table, parts)
         b = table.column("bucket")[0].as_py()
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([b] * len(rows), pa.int64()), "words": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [(p, b, held.words[w].tobytes(), _six(held.pairs[x])) for p in range(parts) if len(w := held.by_word.of(p)) + len(x := held.by_pair.of(p))]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "bucket", "words", "pairs"])
 
     return run
 
 
+ANSWERS = "bucket long, part long, counts binary, levels binary, pairs binary"
+
+
 def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """For each question to a part: counts and levels of its words, and levels of its pairs, in the order asked."""
     words = np.frombuffer(held.column("words")[0].as_py(), np.uint64) if len(held) else np.zeros(0, np.uint64)
     counts = np.frombuffer(held.column("counts")[0].as_py(), np.int64) if len(held) else np.zeros(0, np.int64)
-    out = []
-    for blob in asked.column("words").to_pylist():
+    block = np.frombuffer(held.column("block")[0].as_py(), np.uint8) if len(held) else np.zeros(128, np.uint8)
+    found = Filter(1, 8 * len(block), block)
+    out, levels, pairs = [], [], []
+    for blob, keys in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
         want = np.frombuffer(blob, np.uint64)
         at = np.minimum(np.searchsorted(words, want), max(0, len(words) - 1))
         got = np.where(words[at] == want, counts[at], 0) if len(words) else np.zeros(len(want), np.int64)
         out.append(got.astype("<i8").tobytes() if got.max(initial=0) >= 1 << 32 else got.astype("<u4").tobytes())
-    return pa.table({"bucket": asked.column("bucket"), "words": asked.column("words"), "counts": pa.array(out, pa.binary())})
+        levels.append(found.levels(word_key(want)).astype("u1").tobytes())
+        pairs.append(found.levels(_from_six(keys)).astype("u1").tobytes())
+    return pa.table({"bucket": asked.column("bucket"), "part": asked.column("part"), "counts": pa.array(out, pa.binary()), "levels": pa.array(levels, pa.binary()), "pairs": pa.array(pairs, pa.binary())})
 
 
 def _score(model: Model):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = model.filter()
-        tokens, words, which = _distinct_words(left)
-        exact = np.zeros(len(words), np.int64)
-        for blob, counts in zip(right.column("words").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            asked = np.frombuffer(blob, np.uint64)
-            exact[np.searchsorted(words, asked)] = np.frombuffer(counts, "<u4" if len(counts) == 4 * len(asked) else "<i8")
+        held = Grams(left, model.parts)
+        tokens, which, inner = held.tokens, held.which, held.inner
+        exact, estimated, seen = np.zeros(len(held.words), np.int64), np.zeros(len(held.words)), np.zeros(len(held.pairs))
+        for part, counts, levels, pairs in zip(*[right.column(c).to_pylist() for c in ("part", "counts", "levels", "pairs")], strict=True):
+            own = held.by_word.of(part)
+            exact[own] = np.frombuffer(counts, "<u4" if len(counts) == 4 * len(own) else "<i8")
+            estimated[own] = VALUES[np.frombuffer(levels, "u1")]
+            seen[held.by_pair.of(part)] = VALUES[np.frombuffer(pairs, "u1")]
         begins = np.cumsum(tokens.sizes) - tokens.sizes
         base = np.log10((exact + 1.0) / (model.tokens + model.types + 1.0))
-        estimated = VALUES[found.levels(word_key(words))]
         single = (1 - model.unknown) * estimated / model.mass
         single[estimated == 0] = model.unknown
         p = single[which]
-        inner = np.flatnonzero(~tokens.first)
         before = estimated[which[inner - 1]]
-        pairs = found.counts(pair_key(tokens.hashes[inner - 1], tokens.hashes[inner]))
         known = before > 0
-        share = np.minimum(1.0, pairs[known] / before[known])
+        share = np.minimum(1.0, seen[held.which_pair][known] / before[known])
         p[inner[known]] = PAIR * share + (1 - PAIR) * p[inner[known]]
         sums = lambda x: np.add.reduceat(x, begins)
         return pa.table({
@@ -292,8 +299,10 @@ def score(docs: DataFrame, model: Model, word_counts: DataFrame, held_out: Colum
     buckets = max(1, -(-total_bytes(docs, text_col) // BUCKET_BYTES))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(buckets))
     dealt = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    asked = dealt.groupBy("bucket").applyInArrow(_ask(model.parts), "part long, bucket long, words binary")
-    answers = asked.groupBy("part").cogroup(word_counts.groupBy("part")).applyInArrow(_answer, "bucket long, words binary, counts binary")
+    shares = max(1, buckets // model.parts)  # a small model is asked by many buckets: each part answers in as many tasks
+    asked = dealt.groupBy("bucket").applyInArrow(_ask(model.parts), "part long, bucket long, words binary, pairs binary").withColumn("share", F.col("bucket") % shares)
+    held = word_counts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    answers = asked.groupBy("part", "share").cogroup(held.groupBy("part", "share")).applyInArrow(_answer, ANSWERS)
     out = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(model), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 

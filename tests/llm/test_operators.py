@@ -222,6 +222,21 @@ def test_filter_gives_levels_back():
     assert (np.abs(np.log(values / counts)) <= np.log(lm_score.BASE) + 1e-9).all()
 
 
+def test_unknown_words_stay_unknown_in_a_large_filter(spark, monkeypatch):
+    """The filter grows with what enters it; a bound on the whole of it (here a small one) would fill it up."""
+    monkeypatch.setattr(lm_score, "MOST_BITS", 4096, raising=False)
+    r = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{x}" for x in r.integers(0, 3000, 60))) for i in range(200)] + [(1000 + i, " ".join(f"u{x}" for x in r.integers(0, 10**9, 20))) for i in range(40)]
+    docs, held = frame(spark, texts), F.col("doc_id") >= 1000
+    model, counts = lm_score.train(docs.filter(~held), parts=3)
+    got = [x for x in lm_score.score(docs, model, counts, held).collect() if x.held_out]
+    end = math.log10((1 - model.unknown) * lm_score.VALUES[lm_score.level(np.array([200]))][0] / model.mass)
+    want = 20 * math.log10(model.unknown) + end
+    assert len(got) == 40 and sum(abs(x.score - want) < 1e-9 for x in got) >= 32
+    few = lm_score.score(docs, *lm_score.train(docs.filter("doc_id < 20"), parts=1), held).collect()
+    assert len(few) == len(texts)
+
+
 # toxicity
 
 
