@@ -30,8 +30,8 @@ from semafold.llm.shingles import mix, word_hashes
 BUCKET_BYTES = 8 << 20
 #: Filter bits for an insertion (up to twice as many, as blocks are powers of two), and probes.
 BITS_EACH, PROBES = 12, 4
-#: Levels are powers of BASE; pairs seen less often than PAIR_LEAST stay out.
-BASE, PAIR_LEAST, PAIR = 1.5, 2, 0.2
+#: Levels are powers of BASE; weight of pairs in a probability.
+BASE, PAIR = 1.5, 0.2
 END = np.uint64(0x5851F42D4C957F2D)
 _C1, _C2, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 48) - 1)
 
@@ -138,8 +138,7 @@ def _total(table: pa.Table) -> pa.Table:
         more = np.frombuffer(b[1], "<u4")
         sums.append(np.concatenate((np.ones(len(keys[-1]) - len(more), np.int64), more)))
     pairs, seen = _summed(keys, sums)
-    often = seen >= PAIR_LEAST
-    keys, levels = np.concatenate((word_key(words), pairs[often])), np.concatenate((level(counts), level(seen[often])))
+    keys, levels = np.concatenate((word_key(words), pairs)), np.concatenate((level(counts), level(seen)))
     inserts = int(levels.sum())
     bits = max(1024, 1 << (max(1, inserts * BITS_EACH) - 1).bit_length())
     cells = {

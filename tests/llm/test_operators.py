@@ -237,6 +237,17 @@ def test_unknown_words_stay_unknown_in_a_large_filter(spark, monkeypatch):
     assert len(few) == len(texts)
 
 
+def test_pairs_seen_once_count(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [(0, " ".join(words)), (1, " ".join(words[::-1])), (10, "w3 w4"), (11, "w3 w9")]
+    docs, held = frame(spark, texts), F.col("doc_id") >= 10
+    model, counts = lm_score.train(docs.filter(~held), parts=2)
+    got = {x.doc_id: x.score for x in lm_score.score(docs, model, counts, held).collect()}
+    single = (1 - model.unknown) * lm_score.VALUES[lm_score.level(np.array([2]))][0] / model.mass
+    both = lm_score.PAIR / lm_score.VALUES[lm_score.level(np.array([2]))][0] + (1 - lm_score.PAIR) * single
+    assert math.isclose(got[10] - got[11], math.log10(both) - math.log10((1 - lm_score.PAIR) * single), rel_tol=1e-9)
+
+
 # toxicity
 
 
