@@ -2,7 +2,7 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample. Every vector is then put in the cell of its
 nearest centroid with one byte for each of SUBSPACES parts of its residual. A query visits its nearest cells, as many
-as the sample needed to find RECALL of its true neighbours; in each, asymmetric distance tables (query part to every code) rank the members, and the best RERANK are measured exactly on
+as the sample needed to find RECALL of its true neighbours, and more where those hold too few vectors; in each, asymmetric distance tables (query part to every code) rank the members, and the best RERANK are measured exactly on
 the original vectors. Cells are dealt to blocks of bounded size, so a cell that holds a third of all vectors is searched
 by many tasks; each returns its nearest few and the best of those are the answer.
 """
@@ -28,8 +28,8 @@ SUBSPACES, CODES, ROUNDS = 16, 256, 8
 RERANK = 200
 #: Share of a sample's true neighbours that the number of visited cells is chosen to reach, on so many of its vectors.
 RECALL, TRIED = 0.97, 256
-#: Vectors that one task searches at a time, with the queries that visit them.
-BLOCK = 8192
+#: Vectors that one task searches at a time, with the queries that visit them; queries that are dealt to cells at a time.
+BLOCK, STRIP = 8192, 256
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,8 +70,9 @@ class Index:
         return cells, np.stack([squared(rest[:, a:b], book).argmin(1) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], axis=1).astype(np.uint8)
 
     def probes(self, sample: np.ndarray, k: int) -> int:
-        """Cells to visit: the rank, among a vector's nearest cells, within which RECALL of its k nearest in the sample lie."""
-        tried = sample[:: max(1, len(sample) // TRIED)][:TRIED]
+        """Cells to visit: the rank, among a vector's nearest cells, within which RECALL of its k nearest in the sample lie. Copies are tried once."""
+        tried = sample[np.sort(np.unique(sample, axis=0, return_index=True)[1])]
+        tried = tried[:: max(1, len(tried) // TRIED)][:TRIED]
         far = squared(tried, sample)
         near = np.argpartition(far, min(k, len(sample) - 1), axis=1)[:, : k + 1]
         ranks = np.empty((len(tried), len(self.centres)), np.int64)
@@ -110,6 +111,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     Ties go to the smaller id. A query's own id is no candidate. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, as queries or candidates, nor do rows with a null id; all vectors must have one
     length. Repeated rows are candidates each. Other columns are not read; without vectors or queries the result is empty.
+    A query gets fewer than k only if there are fewer candidates in all.
     """
     spark = vectors.sparkSession
     all_, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
@@ -132,9 +134,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = squared(_matrix(batch.column("v")), shared.value.centres)
-                near = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=["query", "q", "cells"])
+                points, need, cells = _matrix(batch.column("v")), batch.column("own").to_numpy() + k, []
+                for at in range(0, len(points), STRIP):
+                    near = np.argsort(squared(points[at : at + STRIP], shared.value.centres), axis=1, kind="stable")
+                    short = np.cumsum(sizes[near], axis=1) < need[at : at + STRIP, None]
+                    cells += [n[: max(probes, m + 1)].tolist() for n, m in zip(near, short.sum(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cells, pa.list_(pa.int64()))], names=["query", "q", "cells"])
 
     def searched(members: pa.Table, visitors: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
@@ -160,8 +165,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     placed = materialise(all_.mapInArrow(encoded, "id long, v array<double>, cell long, codes binary"), "ivf")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))  # a row a cell: MOST_CELLS at most
+    members = placed.groupBy("cell").agg(F.count("*").alias("members")).collect()  # a row a cell: MOST_CELLS at most
+    sizes = np.zeros(len(index.centres), np.int64)
+    for cell, n in members:
+        sizes[cell] = n
+    blocks = spark.createDataFrame([(cell, -(-n // BLOCK)) for cell, n in members], "cell long, blocks long")
+    dealt = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    again = placed.groupBy("id").agg(F.count("*").alias("own")).filter("own > 1")  # rows of a query's own id are no candidates
+    asked = asked.join(again, "id", "left").select("id", "v", F.coalesce("own", F.lit(1).cast("long")).alias("own"))
     visiting = asked.mapInArrow(visits, "query long, q array<double>, cells array<long>").withColumn("cell", F.explode("cells"))
     visiting = visiting.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("cell", "block", "query", "q")
     found = dealt.groupBy("cell", "block").cogroup(visiting.groupBy("cell", "block")).applyInArrow(searched, "query_id long, vec_id long, score double")

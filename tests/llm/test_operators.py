@@ -318,3 +318,19 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 10 * len(found)
     assert [found[200][k][1] for k in range(1, 11)] == list(range(100, 110))
     assert ann.nearest(held.limit(0), held).count() == 0 and ann.nearest(held, held.limit(0)).count() == 0
+
+
+def test_every_query_gets_its_neighbours(spark, monkeypatch):
+    """Small far clusters, lone vectors, a hot group of copies, and an id with many rows."""
+    monkeypatch.setattr(ann, "PER_CELL", 20)
+    r = np.random.default_rng(9)
+    hot = [(i, [1.0] * 8) for i in range(600)]
+    near = [(1000 + 100 * c + i, (centre + r.normal(size=8) * 0.01).tolist()) for c, centre in enumerate(r.normal(size=(60, 8)) * 1000) for i in range(6)]
+    lone = [(9000 + i, (r.normal(size=8) * 10000).tolist()) for i in range(12)]
+    rows = hot + near + lone + [(9900, [-3000.0] * 8)] * 30
+    held = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = held.filter("vec_id >= 1000").distinct()
+    got = Counter(x.query_id for x in ann.nearest(held, asked).collect())
+    assert got == Counter({i: 10 for i in {i for i, _ in near + lone} | {9900}})
+    few = held.filter("vec_id >= 9000 and vec_id < 9006")
+    assert Counter(x.query_id for x in ann.nearest(few, few).collect()) == Counter({9000 + i: 5 for i in range(6)})
