@@ -1,8 +1,9 @@
 """Toxicity of texts behind a noisy channel.
 
-Spelling tricks (leetspeak, letters spaced out or repeated, look-alike letters) are undone before anything is scored: a
-suspicious token is a lattice of what each character may stand for, and a Viterbi search under a character language
-model of the corpus finds its best readings. Restored words and their beginnings are then looked up in a lexicon of
+Spelling tricks (leetspeak, letters spaced out or repeated, separators, look-alike letters) are undone before anything is
+scored: a suspicious token is a lattice of what each character may stand for, and a Viterbi search under a character
+language model of the corpus finds its best readings. Adjacent pieces that make up a word of the lexicon are read as that
+word where the model likes it better than the pieces. Restored words and their beginnings are then looked up in a lexicon of
 evidence that was learned from labelled texts.
 """
 
@@ -28,6 +29,8 @@ PREFIXES, READINGS = (4, 5, 6), 4
 SKETCHES = 6
 #: Features expected by chance to reach even odds; score of a text without evidence.
 BY_CHANCE, NO_EVIDENCE = 0.2, 0.02
+#: Log probability that a separator or a space was put in; readings of doubled letters that are looked up; evidence of words that are put together.
+DROPPED, DOUBLED_READINGS, INNER = -1.0, 64, 0.3
 #: Tokens whose evidence a worker remembers.
 MEMO = 500_000
 
@@ -39,6 +42,9 @@ HIDDEN = str.maketrans("", "", "­​‌‍⁠﻿")
 
 _SUSPICIOUS = re.compile("[" + re.escape("".join([*LEET, *LOOKALIKE])) + "­​‌‍⁠﻿]|(.)\\1\\1|[^\\W\\d_][.\\-_*~]+[^\\W\\d_]")
 _SEPARATED = re.compile(r"(?:[^\s.\-_*~][.\-_*~]+){2,}[^\s.\-_*~]")
+_RUN, _ALL_DOUBLED = re.compile(r"([^\W\d_])\1+"), re.compile(r"(?:([^\W\d_])\1+){3,}")
+_ALL_PAIRS = re.compile(r"(?:([^\W\d_])\1+)+")
+_EDGES, _SEPARATORS = "!.,;:?\"'()[]{}%&#*~-_<>=", ".-_*~"
 _WORD = re.compile(r"[^\W\d_]+")
 LETTERS = 27  # a to z, and anything else
 
@@ -80,8 +86,8 @@ def _letter(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of one character the strings it may stand for, with log probabilities of the channel."""
+def lattice(token: str, drop: bool = True) -> list[list[tuple[str, float]]]:
+    """For each run of one character the strings it may stand for, with log probabilities of the channel; with drop, separators may stand for nothing."""
     out, at = [], 0
     while at < len(token):
         c, n = token[at], 1
@@ -89,17 +95,29 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             n += 1
         at += n
         singles = [(LOOKALIKE[c], 0.0)] if c in LOOKALIKE else [(x, -1.0) for x in LEET[c]] + [(c, -2.5)] if c in LEET else [(c, 0.0)]
-        if n == 1:
+        if drop and c in _SEPARATORS:
+            out.append([(c, 0.0), ("", DROPPED)])
+        elif n == 1:
             out.append(singles)
         else:
             out.append([(x * 2, p - 0.7) for x, p in singles] + [(x, p - 0.9) for x, p in singles])
     return out
 
 
-def readings(token: str, letters: np.ndarray, most: int = READINGS) -> list[str]:
+def spelled(text: str, letters: np.ndarray) -> float:
+    """Log probability of a text between spaces."""
+    out, x, y = 0.0, 0, 0
+    for c in f"{text} ":
+        z = _letter(c)
+        out += letters[x, y, z]
+        x, y = y, z
+    return out
+
+
+def readings(token: str, letters: np.ndarray, most: int = READINGS, drop: bool = True) -> list[str]:
     """The best readings of a token: a Viterbi search over (last two letters) that keeps `most` paths a state."""
     states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for options in [*lattice(token), [(" ", 0.0)]]:
+    for options in [*lattice(token, drop), [(" ", 0.0)]]:
         nexts: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), paths in states.items():
             for text, cost in options:
@@ -116,12 +134,17 @@ def readings(token: str, letters: np.ndarray, most: int = READINGS) -> list[str]
 
 def restore(token: str, letters: np.ndarray) -> list[str]:
     """Readings of a lower-cased token; itself alone unless it is suspicious."""
-    token = token.translate(HIDDEN).strip("!.,;:?\"'()[]{}%&#*~-_<>=")
-    if not token or not _SUSPICIOUS.search(token):
+    token = token.translate(HIDDEN).strip(_EDGES)
+    if not token or not (_SUSPICIOUS.search(token) or _ALL_DOUBLED.fullmatch(token)):
         return [token]
     if _SEPARATED.fullmatch(token):
         token = re.sub(r"[.\-_*~]", "", token)
-    return readings(token, letters) if any(c.isalpha() for c in token) or len(token) > 3 else [token]
+    if not any(c.isalpha() for c in token) and len(token) <= 3:
+        return [token]
+    found = readings(token, letters)
+    if any(c in _SEPARATORS for c in token):
+        found += readings(token, letters, drop=False)  # the words between separators stay evidence
+    return list(dict.fromkeys(found))
 
 
 def features(word: str) -> list[str]:
@@ -152,24 +175,65 @@ class Evidence:
 
     def __init__(self, letters: np.ndarray, lexicon: dict[str, float]):
         self.letters, self.lexicon, self.known = letters, lexicon, {}
-        self.inner = [w for w, p in lexicon.items() if p >= 0.3 and len(w) > 3 and not w.endswith("*")]
+        self.whole = {w for w, p in lexicon.items() if p >= INNER and not w.endswith("*")}
+        self.inner = [w for w in self.whole if len(w) > 3]
+        self.starts = {w[:n] for w in self.whole for n in range(1, len(w))}
+        self.longest = max(map(len, self.whole), default=0)
+        self.squeezed = {_RUN.sub(r"\1", w) for w in self.whole}
+        self.formed, self.begins = {}, {}
 
     def of(self, token: str) -> float:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > MEMO:
-                self.known.clear()
-            got = self.known[token] = max((self.lexicon.get(f, 0.0) for r in restore(token, self.letters) for f in features(r)), default=0.0)
+            found = [self.lexicon.get(f, 0.0) for r in restore(token, self.letters) for f in features(r)]
+            if _RUN.search(token):
+                for w in _WORD.findall(token):
+                    if _RUN.search(w) and _RUN.sub(r"\1", w) in self.squeezed:
+                        found += [self.lexicon[r] for r in readings(w, self.letters, DOUBLED_READINGS) if r in self.whole]
+            got = self.known[token] = max(found, default=0.0)
+            if begins := [f for f in self.forms(token) if f in self.starts]:
+                self.begins[token] = begins
         return got
 
+    def forms(self, token: str) -> list[str]:
+        """What a token may be as a piece of a word."""
+        got = self.formed.get(token)
+        if got is None:
+            piece = token.translate(HIDDEN).strip(_EDGES) if len(token) <= 2 * self.longest else ""
+            odd = _SUSPICIOUS.search(piece) or piece and _ALL_PAIRS.fullmatch(piece)
+            got = self.formed[token] = (readings(piece, self.letters) if odd else [piece]) if piece else []
+        return got
+
+    def across(self, tokens: list[str]) -> set[str]:
+        """Words of the lexicon that adjacent tokens make up, where the letters speak for the word rather than its pieces."""
+        out = set()
+        for i in [i for i, t in enumerate(tokens) if t in self.begins]:
+            states = {f: f for f in self.begins[tokens[i]]}
+            for t in tokens[i + 1 : i + self.longest]:
+                nexts = {}
+                for joined, split in ((a + f, f"{b} {f}") for a, b in states.items() for f in self.forms(t)):
+                    if joined in self.whole and joined not in out and spelled(joined, self.letters) + DROPPED * split.count(" ") > spelled(split, self.letters):
+                        out.add(joined)
+                    if joined in self.starts:
+                        nexts[joined] = split
+                states = nexts
+                if not states:
+                    break
+        return out
+
     def score(self, text: str) -> float:
         """Noisy-or of the evidence of the distinct tokens."""
         tokens = text.lower().split()
         known = self.known
+        if len(known) > MEMO or len(self.formed) > MEMO:
+            for held in (known, self.formed, self.begins):
+                held.clear()
         found = [v if (v := known.get(t)) is not None else self.of(t) for t in set(tokens)]
+        spaced = []
         if any(map(_SINGLE, tokens)):
             for run in spaced_out(tokens):
-                found += [self.lexicon[w] for r in readings(run, self.letters) for w in self.inner if w in r]
+                spaced += [w for r in readings(run, self.letters) for w in self.inner if w in r]
+        found += [self.lexicon[w] for w in [*spaced, *sorted(self.across(tokens) - set(spaced))]]
         doubt = sum(math.log1p(-v) for v in found if v)
         return max(NO_EVIDENCE, 1.0 - math.exp(doubt))
 

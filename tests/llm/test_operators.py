@@ -273,6 +273,20 @@ def test_restoration_and_scores(spark):
     assert toxicity.score_texts(none, *toxicity.train(none, labels)).count() == 0
 
 
+def test_separators_doubles_and_pieces(spark):
+    r = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(r.choice(list("aeioulmnrst"), 5)) for _ in range(n))
+    clean = [(i, f"{some(8)} the fox in the big well-known barn {some(8)}") for i in range(300)]
+    toxic = [(1000 + i, f"{some(8)} the {'idiot' if i % 2 else 'gyp'} {some(8)}") for i in range(120)]
+    tricks = ["an id-iot", "iiddiioott", "iddiot", "an id iot", "an idi ot.", "1d 10t", "a g y p there", "what an i-di_ot", "gg yy pp", "a dumb-id-iot"]
+    fine = ["the fox in the big barn", "a well-known fox", "an inn in the biig barn", "the gap", "i do it"]
+    docs = spark.createDataFrame(clean + toxic + list(enumerate(tricks, 2000)) + list(enumerate(fine, 3000)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    got = {x.doc_id: x.toxicity for x in toxicity.score_texts(docs, *toxicity.train(docs, labels)).collect()}
+    assert [t for i, t in enumerate(tricks, 2000) if got[i] < 0.5] == []
+    assert [t for i, t in enumerate(fine, 3000) if got[i] >= 0.5] == [] and all(got[i] < 0.5 for i, _ in clean)
+
+
 def test_evidence_of_beginnings():
     got = toxicity.weighed({"loser": (100, 0), "lose*": (100, 20), "lowe*": (90, 0), "loweab": (20, 0), "weak": (3, 0)}, 6.0)
     assert got["loser"] > 0.9 and got["lowe*"] > 0.9 and "lose*" not in got and "weak" not in got
@@ -289,6 +303,13 @@ def test_held_out_accuracy(spark):
     assert found > 0.85 and alarms < 0.02
 
 
+def test_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r.predicted for r in toxicity.op3_toxicity(spark, sf).collect() if r.held_out and labels.get(r.doc_id) == 1]
+    assert sum(held) > 0.9 * len(held)
+
+
 # nearest neighbours
 
 
