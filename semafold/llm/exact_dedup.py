@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import materialise, salt, survivor_bits, with_survivor_flag, without
+from semafold.llm.common import materialise, salt, survivor_bits, with_survivor_flag
 
 PREFIX_BYTES = 128
 
@@ -23,6 +23,13 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their kept flag. Other columns, whatever their names, are not read. An empty table gives an empty result.
     digests hashes rows that refinement has settled too, for callers that need a digest of every row.
     """
+    columns = [F.col("id").alias(id_col), "keep_id", "group_size", "kept"]
+    out = _found(docs, id_col, text_col, digests)
+    return out.select(*columns, F.lower(F.hex("h")).alias("text_sha256")) if digests else out.select(*columns)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    """id, keep_id, group_size, h, kept: h is the text's hash, null where refinement settled the row and digests is false."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     n, prefix = F.octet_length(text).cast("long"), F.xxhash64(F.substring(text, 1, PREFIX_BYTES))
@@ -44,15 +51,19 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = parts.select("n", "h", "s").join(groups, ["n", "h"])  # a salted key each: a hot text meets its total in many tasks
     found = left.join(places, ["n", "h", "s"]).select("id", "keep_id", "group_size", "h")
     alone = hashed.filter("not f").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "h")
-    out = found.unionByName(alone).withColumn("kept", F.expr("id <=> keep_id"))
-    columns = [F.col("id").alias(id_col), "keep_id", "group_size", "kept"]
-    return out.select(*columns, F.lower(F.hex("h")).alias("text_sha256")) if digests else out.select(*columns)
+    return found.unionByName(alone).withColumn("kept", F.expr("id <=> keep_id"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that find_copies() gives up; every column stays as it is."""
-    found = find_copies(docs, id_col, text_col)
-    return without(docs, found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col), id_col)
+    """docs without the rows that find_copies() gives up, by id and text; every column stays as it is.
+
+    A row given up never takes another text of its id with it."""
+    found = _found(docs, id_col, text_col, False)
+    gone = materialise(found.filter("not kept and id is not null").select(F.col("id").alias("_gone"), F.col("h").alias("_digest")).distinct(), "gone")
+    flagged = with_survivor_flag(docs, survivor_bits(gone, F.col("_gone")), F.col(id_col).cast("long"), "_flag")
+    rest = flagged.filter("_flag").drop("_flag")
+    digest = F.unhex(F.sha2(F.coalesce(rest[text_col], F.lit("")).cast("binary"), 256))
+    return flagged.filter("not _flag").drop("_flag").unionByName(rest.join(gone, (rest[id_col].cast("long") == gone["_gone"]) & (digest == gone["_digest"]), "left_anti"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,11 @@ def test_exact_copies(spark, corpus):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(w[0]) for w in want if w[3] or w[0] is None)
 
 
+def test_a_repeated_id_keeps_its_other_texts(spark):
+    kept = exact_dedup.drop_copies(frame(spark, [(5, "a"), (9, "a"), (5, "b"), (5, "c"), (7, None), (8, ""), (7, "d")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, "b"), (5, "c"), (7, "d"), (8, ""), (9, "a")]
+
+
 def near_brute(rows, threshold=75):
     sets = {}
     for i, t in rows:
