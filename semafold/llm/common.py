@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 256
 #: Rows of a survivor table: 2^18 words of 64 bits, so a broadcast of it has at most 262,144 rows (about 4 MB of longs).
 BIT_WORDS = 1 << 18
 #: Parts a key is dealt to before its totals meet, so that no task holds all rows of one key.
@@ -67,6 +71,23 @@ def salt(column: str, parts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(parts)).cast("int")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what a task holds in Python doesn't follow the batch size; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def released() -> None:
+    """Hand freed memory back at the end of a task: Python workers outlive it, and the next stage needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 of a string column, nulls as empty."""
     return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -130,6 +130,46 @@ def test_chunked_encoding_is_exact(spark):
     assert bpe_chunks.digests(frame(spark, []), path).count() == 0
 
 
+def test_whole_table_encodes_exactly(spark):
+    from tokenizers import Tokenizer
+
+    path, docs = public_tokenizers.path("word_bpe_49k.json"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_chunks.op8_bpe_chunks(spark, "/root/testdata/sf0.01").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    for r, e in zip(rows, whole.encode_batch_fast([r.text or "" for r in rows], add_special_tokens=False), strict=True):
+        said = whole.decode(e.ids, skip_special_tokens=False)
+        assert got.pop(r.doc_id) == (len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+    assert not got
+
+
+def test_chunks_are_encoded_once():
+    """Passages that texts share are encoded once, wherever they stand; joins that disagree are widened."""
+    r = np.random.default_rng(3)
+    some = lambda n: " ".join("".join(r.choice(list("aeioulmnrst"), 5)) for _ in range(n))
+    shared = some(2000)
+    texts = [f"{some(40)} {shared} {some(40)}" for _ in range(10)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = bpe_chunks.ChunkEncoder(path)
+    want = [e.whole(t) for t in texts]
+    assert list(e.encode_all(texts)) == want
+    size = sum(map(len, texts))
+    assert e.encoded + e.reused == size and e.encoded < 0.35 * size and e.widened == 0
+    for entry in e.chunks.values():  # forged ids of a word beside a cut: no join agrees with them
+        entry[1][1] = b"\0\0\0\0"
+    assert list(e.encode_all(texts)) == want and e.widened == len(texts)
+    other = bpe_chunks.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))  # keeps white space: nothing is cut
+    assert other.latin is None and other.encode(texts[0]) == other.whole(texts[0])
+
+
+def test_every_vocabulary_word_encodes_alike():
+    e = bpe_chunks.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [w for w in (t.removesuffix("</w>") for t in e.tokenizer.get_vocab()) if w.isalpha() and max(w) < "Ā"]
+    assert e.strings(words) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    odd = ["don't stop", "I'LL 's''s", "a'tb'dc", "''ve x've5'm", "½²³ª×÷µß", "12ab34", "é'ré", "...a!?'s"]
+    assert e.strings(odd) == [e.whole(x) for x in odd]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("abÉé.,'s0 \n\tÀ́ \x1d日 "), max_size=120))
 def test_any_text_encodes_exactly(text):
