@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Shingles of five words, compared at a similarity of three quarters.
@@ -9,8 +11,11 @@ WORDS = 5
 _R = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
+#: Powers of a base and of its inverse, as many as a strip of text needs.
+_SERIES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes whose words are hashed at a time; a longer word is a strip of its own.
+STRIP = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,25 +32,36 @@ def _series(r: int, size: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        _POWERS, _INVERSES = _series(_R, size), _series(pow(_R, -1, 1 << 64), size)
-    return _POWERS[:n], _INVERSES[:n]
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** 0..n-1 and their inverses, modulo 2 ** 64; base is odd. Kept up to a strip's length."""
+    held = _SERIES.get(base)
+    if held is None or len(held[0]) < n:
+        held = _series(base, n), _series(pow(base, -1, 1 << 64), n)
+        if n <= 2 * STRIP:
+            _SERIES[base] = held
+    return held[0][:n], held[1][:n]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word `[^\\x20\\x09-\\x0D]+` of data, A-Z as a-z, in order."""
-    if not data:
-        return np.zeros(0, np.uint64)
+    """A hash of each word `[^\\x20\\x09-\\x0D]+` of data, A-Z as a-z, in order; in strips that end at white space, so that
+    memory beyond the hashes themselves doesn't follow the text."""
+    out, at = [], 0
+    while at < len(data):
+        gap = _GAP.search(data, at + STRIP)
+        end = gap.start() if gap else len(data)
+        out.append(_word_hashes(data[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
     text = np.frombuffer(data.lower(), np.uint8)
     inside = ~_SPACE[text]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(text) + 1)
+    power, inverse = powers(_R, max(len(text) + 1, STRIP))
     sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    np.cumsum((text + np.uint64(1)) * power[: len(text)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 

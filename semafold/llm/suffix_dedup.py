@@ -3,16 +3,19 @@
 A byte goes if a string of MATCH bytes over it also starts in a document with a smaller id. Two places share such a
 string only if they share its minimizer: the least hash among the KGRAM-byte strings in it. So:
 
-1. Each bucket of documents (dealt by id, a few MB) cuts its texts into stretches of windows with one minimizer, and
-   sends 8 bytes for each distinct one: half of it the minimizer's hash, half the whole stretch's.
-2. Gathered by minimizer, a stretch that a smaller document has too is covered as a whole. Of the rest, only those whose
-   minimizer occurs with other surroundings are in doubt: the edges of shared passages.
-3. The buckets send the text of stretches in doubt. For those with one minimizer hash, a suffix array with its previous
-   and next smaller documents gives each window's longest previous factor; MATCH bytes or more means covered.
+1. Each bucket of documents (dealt by id and text, a few MB) cuts its texts into stretches of windows with one minimizer,
+   and sends 4 bytes for each distinct minimizer. Those that one document alone has can't match and are done with.
+2. For the others it sends each distinct stretch as 128 bits with its smallest document. Stretches of equal content are one
+   string with one first occurrence; the later ones repeat it from end to end.
+3. The first occurrences, once in the whole corpus each, send their text to the part of their minimizer. A suffix array over
+   the windows there, with the lengths that neighbours share, gives each window's previous and next smaller document in
+   suffix order; the longer of the two matches is its longest previous factor. MATCH bytes or more means covered.
+   A minimizer with more than HOT contents (the surroundings of a line that a third of the documents have) is
+   dealt on by whole windows, so that no part holds all of them.
 4. Each bucket puts the verdicts together and cuts the texts.
 
-The text is shuffled once, to the buckets; what else moves is the 8 bytes a stretch (a sixteenth of the text's
-positions), verdicts and the edges. Comparisons on the way are by 64-bit hashes; windows in doubt are compared in full.
+The text is shuffled once, to the buckets; what else moves is 4 bytes a minimizer, 128 bits a stretch in doubt, and the
+text of first occurrences. Texts under MATCH bytes and rows without an id can't match and are not moved at all.
 """
 
 from __future__ import annotations
@@ -23,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import total_bytes
-from semafold.llm.shingles import _powers, mix
+from semafold.llm.shingles import mix, powers
 
 MATCH, KGRAM = 50, 20
 #: Text of a bucket, which a task holds at a time (a longer document is a bucket's load of its own), and of a part.
 BUCKET_BYTES, PART_BYTES = 12 << 20, 5 << 20
+#: First occurrences with one minimizer that a part takes whole.
+HOT = 4096
 _SPAN = MATCH - KGRAM + 1
 _AT = np.uint64((1 << 28) - 1)
 _TILE = 1 << 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: Bases of the two hashes of a string.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 def kgram_hashes(text: np.ndarray) -> np.ndarray:
@@ -58,20 +64,19 @@ class Bucket:
 
     def __init__(self, table: pa.Table):
         ids = table.column("id").to_pylist()
-        data = [b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, data[i]))
+        data = table.column("text").cast(pa.binary()).to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], data[i]))
         self.order = order
-        self.ids, data = [ids[i] for i in order], [data[i] for i in order]
+        self.ids, data = np.array([ids[i] for i in order], np.int64), [data[i] for i in order]
         self.text = np.frombuffer(b"".join(data), np.uint8)
         self.bounds = np.cumsum([0, *map(len, data)])
-        self.starts = self.counts = np.zeros(0, np.int64)
 
     def cut(self) -> None:
-        """starts, counts: the first window and number of windows of each stretch; doc: its document; key: its 64 bits."""
+        """starts, counts: the first window and number of windows of each stretch; doc: its document's id; small: its minimizer."""
         text, windows = self.text, len(self.text) - MATCH + 1
-        found: list[list[np.ndarray]] = [[], [], []]  # where a stretch begins, whether its windows lie in one text, its hash
+        found: list[list[np.ndarray]] = [[], [], []]  # where a stretch begins, whether its windows lie in one text, its minimizer
         before = (-1, True)
-        edges, nulls = self.bounds[1:-1], self.bounds[self.ids.count(None)]
+        edges = self.bounds[1:-1]
         for base in range(0, windows, _TILE):  # in strips that stay in cache
             size = min(_TILE, windows - base)
             hashed = kgram_hashes(text[base : base + size + MATCH - 1])
@@ -83,7 +88,6 @@ class Bucket:
             valid = np.ones(size, bool)
             for b in edges[np.searchsorted(edges, base, "right") : np.searchsorted(edges, base + size + MATCH - 1)].tolist():
                 valid[max(0, b - MATCH + 1 - base) : max(0, b - base)] = False
-            valid[: max(0, nulls - base)] = False
             same = np.concatenate(([before == (at[0] + base, valid[0])], (at[1:] == at[:-1]) & (valid[1:] == valid[:-1])))
             new = np.flatnonzero(~same)
             before = (at[-1] + base, valid[-1])
@@ -92,139 +96,228 @@ class Bucket:
         starts, keep, small = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
         counts = np.diff(np.concatenate((starts, [max(windows, 0)])))
         keep = keep.astype(bool)
-        self.starts, self.counts, small = starts[keep], counts[keep], small[keep].astype(np.uint64)
-        self.doc = np.searchsorted(self.bounds, self.starts, "right") - 1
-        whole = np.zeros(len(self.starts), np.uint64)
-        power, inverse = _powers(_TILE + _SPAN + MATCH + 1)
-        cuts = np.searchsorted(self.starts, np.arange(0, max(windows, 0) + _TILE, _TILE))
-        for base, i, j in zip(range(0, max(windows, 0), _TILE), cuts[:-1], cuts[1:], strict=False):
-            part = text[base : base + _TILE + _SPAN + MATCH]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[1:])
-            begin, count = self.starts[i:j] - base, self.counts[i:j]
-            whole[i:j] = mix((sums[begin + count + MATCH - 1] - sums[begin]) * inverse[begin] + count.astype(np.uint64))
-        self.key = (small & ~np.uint64(0xFFFFFFFF)) | (whole >> np.uint64(32))
-
-    def sent(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Representatives (the first of each distinct stretch, so of the smallest document), each stretch's representative,
-        which stretches a smaller document of this bucket has too, and for each part the representatives it gets."""
-        _, first, which = np.unique(self.key, return_index=True, return_inverse=True)
-        numbers = np.array([x if x is not None else -1 for x in self.ids], np.int64)
-        covered = numbers[self.doc] > numbers[self.doc[first]][which]
-        part = ((self.key[first] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((first, part))
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        return first, which, covered, [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def id_blob(self, docs: np.ndarray) -> bytes:
-        """Ids of representatives that are in order of document: each id once, with its number of them."""
-        found, counts = np.unique(docs, return_counts=True)
-        ids = np.array([self.ids[i] for i in found], np.int64)
-        return zlib.compress(np.diff(ids, prepend=0).tobytes() + counts.astype("<i4").tobytes(), 1)
+        self.starts, self.counts, self.small = starts[keep], counts[keep], small[keep].astype(np.uint64)
+        self.doc = self.ids[np.searchsorted(self.bounds, self.starts, "right") - 1]
+
+    def hashes(self, starts: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+        """A 64-bit hash of each string of at most _TILE bytes; starts ascend."""
+        power, inverse = powers(base, 2 * _TILE + 1)
+        out = np.zeros(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(self.text) + _TILE, _TILE))
+        for at, i, j in zip(range(0, len(self.text), _TILE), cuts[:-1], cuts[1:], strict=False):
+            if i < j:
+                part = self.text[at : at + 2 * _TILE]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[1:])
+                begin, length = starts[i:j] - at, lengths[i:j]
+                out[i:j] = mix((sums[begin + length] - sums[begin]) * inverse[begin] + length.astype(np.uint64))
+        return out
+
+    def minimizers(self, parts: int) -> Dealt:
+        """The distinct minimizers, dealt to parts; own: those that two documents of this bucket have."""
+        order = np.argsort(self.small, kind="stable")
+        small, doc = self.small[order], self.doc[order]
+        begin = np.flatnonzero(np.concatenate(([True], small[1:] != small[:-1]))) if len(small) else np.zeros(0, np.int64)
+        several = np.maximum.reduceat(doc, begin) > np.minimum.reduceat(doc, begin) if len(begin) else np.zeros(0, bool)
+        return Dealt(small[begin], parts, several)
+
+    def doubted(self, held: Dealt, doubt: np.ndarray) -> None:
+        """Keep the stretches whose minimizer is in doubt. first: representatives, the first of each distinct stretch, so of its
+        smallest document here; which: each stretch's representative; content: the representatives' 128 bits."""
+        keep = doubt[np.searchsorted(held.keys, self.small)]
+        self.starts, self.counts, self.small, self.doc = self.starts[keep], self.counts[keep], self.small[keep], self.doc[keep]
+        one, two = (self.hashes(self.starts, self.counts + (MATCH - 1), b) for b in _BASES)
+        order = np.lexsort((two, one))  # stable: the first of equal ones is the smallest document's
+        a, b = one[order], two[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        self.which = np.empty(len(a), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        self.content = np.stack([one[self.first], two[self.first]], axis=1)
+
+
+class Dealt:
+    """Distinct keys in ascending order, and for each part the places of its keys."""
+
+    def __init__(self, keys: np.ndarray, parts: int, own: np.ndarray | None = None):
+        self.keys, self.own = keys, own
+        self.of = dealt(keys, parts)
+
+
+def dealt(keys: np.ndarray, parts: int) -> dict[int, np.ndarray]:
+    """Places of the keys of each part that has any, in order."""
+    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return dict(zip(part[order][begin].tolist(), np.split(order, begin[1:]), strict=True)) if len(begin) else {}
+
+
+def id_blob(docs: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(docs, prepend=0).astype("<i8").tobytes(), 1)
 
 
 def read_ids(blob: bytes) -> np.ndarray:
-    raw = zlib.decompress(blob)
-    n = len(raw) // 12
-    return np.repeat(np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, "<i4", n, 8 * n))
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<i8"))
+
+
+def _nearest_smaller(docs: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each suffix the length it shares with the nearest one before it that has a smaller document, 0 if there is none.
+
+    shared: the length that each suffix shares with the one before it. Pointers start at the neighbour and jump over
+    suffixes whose document isn't smaller, to where those point; all that was jumped over isn't smaller either."""
+    to, low = np.arange(len(docs)) - 1, shared.copy()
+    left = np.arange(len(docs))
+    while True:
+        left = left[(low[left] > 0) & (docs[to[left]] >= docs[left])]  # nothing shared ends a search; the first suffix shares nothing
+        if not len(left):
+            return low
+        over = to[left]
+        low[left], to[left] = np.minimum(low[left], low[over]), to[over]
 
 
 def longest_previous_factors(text: np.ndarray, starts: np.ndarray, docs: np.ndarray, most: int = MATCH) -> np.ndarray:
     """For each start, the length of the longest string there that also starts at a start of a smaller document, up to `most`.
 
-    Suffixes are ordered by their first `most` bytes (prefix doubling), equal ones by document. The previous smaller and
-    next smaller documents in that order bound the longest match on either side; a next smaller one is never among the
-    equal ones, so the full length shows at the previous one alone and shorter lengths are reported as 0.
-    """
-    padded = np.concatenate((text, np.zeros(most + 8, np.uint8)))
-    rank = np.unique(np.ndarray(len(text) + most, ">u8", padded.tobytes(), 0, (1,)), return_inverse=True)[1].astype(np.uint64)
-    length = 8
-    while length < most:
-        step = min(length, most - length)
-        ahead = rank[step:]
-        pair = (rank[: len(ahead)] << np.uint64(32)) | ahead
-        length += step
-        rank = (pair[starts] if length == most else np.unique(pair, return_inverse=True)[1].astype(np.uint64))
-    order = np.lexsort((docs, rank))  # the suffix array, restricted to the starts
-    same = np.concatenate(([False], rank[order][1:] == rank[order][:-1]))
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    previous = docs[order][head]  # the smallest document among the equal suffixes before it
-    out = np.zeros(len(order), np.int64)
-    out[order] = np.where(previous < docs[order], most, 0)
+    The suffixes at the starts are ordered by their first `most` bytes, and the length that each shares with the one before
+    it is read off. Of all smaller documents, the previous and the next in suffix order share the most: the longest previous
+    factor is the greater of the two. text has `most` bytes from each start on."""
+    order = np.argsort(docs, kind="stable")  # equal windows stand in order of document
+    windows = np.lib.stride_tricks.sliding_window_view(text, most)[starts[order]]
+    array = np.argsort(np.ascontiguousarray(windows).view(f"S{most}").ravel(), kind="stable")
+    windows, docs = windows[array], docs[order][array]
+    differ = windows[1:] != windows[:-1]
+    shared = np.zeros(len(docs), np.int64)
+    shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    before = _nearest_smaller(docs, shared)
+    after = _nearest_smaller(docs[::-1], np.concatenate(([0], shared[:0:-1])))[::-1]
+    out = np.empty(len(docs), np.int64)
+    out[order[array]] = np.maximum(before, after)
     return out
 
 
-def _first_pass(parts: int):
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())})
+
+
+def _number(table: pa.Table) -> int:
+    return table.column("bucket")[0].as_py() if len(table) else 0
+
+
+def _minimizers(parts: int):
+    """1. To each part the distinct minimizers of a bucket, as 32 of their bits."""
+
     def run(table: pa.Table) -> pa.Table:
         bucket = Bucket(table)
         bucket.cut()
-        first, _, _, dealt = bucket.sent(parts)
-        rows = [(p, bucket.id_blob(bucket.doc[first[r]]), bucket.key[first[r]].tobytes()) for p, r in enumerate(dealt) if len(r)]
-        b = table.column("bucket")[0].as_py() if len(table) else 0
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([b] * len(rows), pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()), "keys": pa.array([r[2] for r in rows], pa.binary())})
+        held = bucket.minimizers(parts)
+        rows = [(p, _number(table), held.keys[at].astype("<u4").tobytes()) for p, at in held.of.items()]
+        return _table(rows, part=pa.int64(), bucket=pa.int64(), keys=pa.binary())
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """A bit for each minimizer: whether another bucket has it too."""
+    blobs = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
+    _, which, counts = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+    bits = np.split(counts[which] > 1, np.cumsum([len(x) for x in blobs])[:-1])
+    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
+
+
+def _in_doubt(left: pa.Table, right: pa.Table, parts: int) -> Bucket:
+    bucket = Bucket(left)
+    bucket.cut()
+    held = bucket.minimizers(parts)
+    doubt = held.own.copy()
+    for p, bits in zip(right.column("part").to_pylist(), right.column("bits").to_pylist(), strict=True):
+        doubt[held.of[p]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(held.of[p])).astype(bool)
+    bucket.doubted(held, doubt)
+    return bucket
+
+
+def _stretches(parts: int):
+    """2. To each part the distinct stretches in doubt, by document; the bits that say which they are go on to step 3."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if len(left) and len(right):
+            bucket = _in_doubt(left, right, parts)
+            for p, at in dealt(bucket.small[bucket.first], parts).items():
+                reps = bucket.first[at]
+                rows.append((p, _number(left), bucket.small[reps].astype("<u4").tobytes(), bucket.content[at].tobytes(), id_blob(bucket.doc[reps])))
+        return _table(rows, part=pa.int64(), bucket=pa.int64(), keys=pa.binary(), content=pa.binary(), ids=pa.binary())
 
     return run
 
 
 def _verdicts(table: pa.Table) -> pa.Table:
-    """Of each representative: 1 if a smaller document has the stretch too, 2 if it is in doubt, else 0."""
-    ids, keys = [read_ids(x) for x in table.column("ids").to_pylist()], [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    doc, key = np.concatenate(ids), np.concatenate(keys)
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    new = np.concatenate(([True], k[1:] != k[:-1]))
-    head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-    small = k >> np.uint64(32)
-    edge = np.flatnonzero(np.concatenate(([True], small[1:] != small[:-1], [True])))
-    several = np.repeat(np.add.reduceat(new.astype(np.int64), edge[:-1]) > 1, np.diff(edge))
-    differ = np.repeat(np.maximum.reduceat(d, edge[:-1]) > np.minimum.reduceat(d, edge[:-1]), np.diff(edge))
-    verdict = np.empty(len(k), np.uint8)
-    verdict[order] = np.where(d > d[head], 1, np.where(several & differ, 2, 0))
-    out = [zlib.compress(x.tobytes(), 1) for x in np.split(verdict, np.cumsum([len(x) for x in ids])[:-1])]
-    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "verdicts": pa.array(out, pa.binary())})
-
-
-def _second_pass(parts: int):
-    """Spans that are settled (part -1), and the texts of stretches in doubt for each part."""
+    """Of each stretch: 1 if a smaller document has it too; 2 if it is the first of its content but its minimizer has other
+    contents as well, 3 if it has more than HOT of them; else 0."""
+    blobs = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
+    small, doc = np.concatenate(blobs), np.concatenate([read_ids(x) for x in table.column("ids").to_pylist()])
+    one, two = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("content").to_pylist()]).T
+    order = np.lexsort((doc, two, one, small))
+    s, a, b, d = small[order], one[order], two[order], doc[order]
+    edge = np.concatenate(([True], s[1:] != s[:-1]))
+    new = edge | np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    begin = np.flatnonzero(edge)
+    sizes = np.diff(np.append(begin, len(s)))
+    contents = np.repeat(np.add.reduceat(new.astype(np.int64), begin), sizes)
+    differ = np.repeat(np.maximum.reduceat(d, begin) > np.minimum.reduceat(d, begin), sizes)
+    verdict = np.empty(len(s), np.uint8)
+    verdict[order] = np.where(d > d[head], 1, np.where((contents > 1) & differ, np.where(contents > HOT, 3, 2), 0))
+    out = np.split(verdict, np.cumsum([len(x) for x in blobs])[:-1])
+    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "bits": pa.nulls(len(out), pa.binary()), "verdicts": pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())})
+
+
+def _texts(parts: int):
+    """3. Spans that are settled (no text), and the first occurrences in doubt with their places, to each part."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        if len(left) and len(right):
-            bucket = Bucket(left)
-            bucket.cut()
-            first, which, covered, dealt = bucket.sent(parts)
-            verdict = np.zeros(len(first), np.uint8)
-            for p, blob in zip(right.column("part").to_pylist(), right.column("verdicts").to_pylist(), strict=True):
-                verdict[dealt[p]] = np.frombuffer(zlib.decompress(blob), np.uint8)
-            gone = covered | (verdict[which] == 1)
+        said = [x is not None for x in right.column("verdicts").to_pylist()]
+        if len(left) and any(said):
+            number = _number(left)
+            bucket = _in_doubt(left, right.filter(pa.array([not x for x in said])), parts)
+            first, verdict = bucket.first, np.zeros(len(bucket.first), np.uint8)
+            own = dealt(bucket.small[first], parts)
+            told = right.filter(pa.array(said))
+            for p, blob in zip(told.column("part").to_pylist(), told.column("verdicts").to_pylist(), strict=True):
+                verdict[own[p]] = np.frombuffer(zlib.decompress(blob), np.uint8)
+            of = verdict[bucket.which]
+            gone = (bucket.doc > bucket.doc[first][bucket.which]) | (of == 1)
             settled = np.stack([bucket.starts[gone], bucket.counts[gone]], axis=1).astype("<i4")
-            b = left.column("bucket")[0].as_py()
-            rows.append((int(b) % parts, b, b"", b"", b"", zlib.compress(settled.tobytes(), 1)))
-            again = np.flatnonzero(~gone & (verdict[which] == 2))  # all places of a stretch in doubt in its own document
-            order = np.argsort(which[again], kind="stable")
-            again = again[order]
-            begins = np.searchsorted(which[again], np.arange(len(first) + 1))
-            for p, reps in enumerate(dealt):
-                reps = reps[verdict[reps] == 2]
-                reps = reps[begins[reps + 1] > begins[reps]]
-                if not len(reps):
-                    continue
-                at = first[reps]
-                s, c = bucket.starts[at], bucket.counts[at]
-                text = b"".join([bucket.text[x : x + y + MATCH - 1].tobytes() for x, y in zip(s.tolist(), c.tolist(), strict=True)])
-                places = np.concatenate([again[begins[r] : begins[r + 1]] for r in reps])
-                owner = np.repeat(np.arange(len(reps)), begins[reps + 1] - begins[reps])
-                head = struct.pack("<ii", len(reps), len(places))
-                body = c.astype("u1").tobytes() + np.stack([bucket.starts[places], owner], axis=1).astype("<i4").tobytes()
-                small = (bucket.key[at] >> np.uint64(32)).astype("<u4").tobytes()
-                rows.append((p, b, bucket.id_blob(bucket.doc[at]), head + small + body, zlib.compress(text, 1), b""))
-        names, kinds = ["part", "bucket", "ids", "places", "text", "settled"], [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+            rows.append((number % parts, number, b"", b"", b"", zlib.compress(settled.tobytes(), 1)))
+            places = np.flatnonzero(~gone & (of >= 2))  # all places of a stretch in doubt, in its own document
+            places = places[np.argsort(bucket.which[places], kind="stable")]
+            rep = bucket.which[places]
+            hot = verdict[rep] == 3
+            at, part = bucket.starts[places], ((bucket.small[places] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            record = np.stack([part[~hot], rep[~hot], np.zeros((~hot).sum(), np.int64), bucket.counts[places][~hot], at[~hot]], axis=1)
+            if hot.any():  # a record for each window, dealt by all its bytes
+                counts = bucket.counts[places][hot]
+                offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = np.repeat(at[hot], counts) + offset
+                order = np.argsort(start, kind="stable")
+                key = np.empty(len(start), np.uint64)
+                key[order] = bucket.hashes(start[order], np.full(len(start), MATCH), _BASES[0])
+                each = np.stack([(key % np.uint64(parts)).astype(np.int64), np.repeat(rep[hot], counts), offset, np.ones(len(start), np.int64), start], axis=1)
+                record = np.concatenate((record, each))
+            record = record[np.lexsort((record[:, 2], record[:, 1], record[:, 0]))]
+            for run_ in np.split(record, np.flatnonzero(np.diff(record[:, 0])) + 1) if len(record) else []:
+                new = np.concatenate(([True], (np.diff(run_[:, 1]) != 0) | (np.diff(run_[:, 2]) != 0)))
+                owner, head = np.cumsum(new) - 1, run_[new]
+                begin, count = head[:, 4], head[:, 3]
+                text = b"".join([bucket.text[x : x + y + MATCH - 1].tobytes() for x, y in zip(begin.tolist(), count.tolist(), strict=True)])
+                body = struct.pack("<ii", len(head), len(run_)) + count.astype("u1").tobytes() + np.stack([run_[:, 4], owner], axis=1).astype("<i4").tobytes()
+                rows.append((int(run_[0, 0]), number, id_blob(bucket.doc[first[head[:, 1]]]), body, zlib.compress(text, 1), b""))
+        return _table(rows, part=pa.int64(), bucket=pa.int64(), ids=pa.binary(), places=pa.binary(), text=pa.binary(), settled=pa.binary())
 
     return run
 
 
-def _edges(table: pa.Table) -> pa.Table:
+def _factors(table: pa.Table) -> pa.Table:
     """For each bucket, (first window, bits of covered windows) of its stretches in doubt; settled spans pass through."""
     out, texts, starts, docs, kept = [], [], [], [], []
     base = 0
@@ -233,7 +326,7 @@ def _edges(table: pa.Table) -> pa.Table:
             out.append((b, settled, b""))
             continue
         n, m = struct.unpack_from("<ii", places)
-        counts = np.frombuffer(places, "u1", n, 8 + 4 * n).astype(np.int64)
+        counts = np.frombuffer(places, "u1", n, 8).astype(np.int64)
         lengths = counts + MATCH - 1
         begin = base + np.cumsum(lengths) - lengths
         data = np.frombuffer(zlib.decompress(text), np.uint8)
@@ -241,7 +334,7 @@ def _edges(table: pa.Table) -> pa.Table:
         texts.append(data)
         starts.append(np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum()))
         docs.append(np.repeat(read_ids(ids), counts))
-        kept.append((b, counts, np.frombuffer(places, "<i4", 2 * m, 8 + 5 * n).reshape(m, 2)))
+        kept.append((b, counts, np.frombuffer(places, "<i4", 2 * m, 8 + n).reshape(m, 2)))
     if texts:
         covered = longest_previous_factors(np.concatenate(texts), np.concatenate(starts), np.concatenate(docs)) >= MATCH
         at = 0
@@ -254,7 +347,7 @@ def _edges(table: pa.Table) -> pa.Table:
             mask = bits[places[:, 1]]
             hit = mask > 0
             out.append((b, b"", zlib.compress(places[hit, 0].astype("<u4").tobytes() + mask[hit].astype("<u4").tobytes(), 1)))
-    return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "settled": pa.array([x[1] for x in out], pa.binary()), "masks": pa.array([x[2] for x in out], pa.binary())})
+    return _table(out, bucket=pa.int64(), settled=pa.binary(), masks=pa.binary())
 
 
 def _last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,45 +374,55 @@ def _last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         spans.append(edges.tolist())
         kept.append(text[~own].tobytes() if len(edges) else text.tobytes())
         sizes.append(b - a)
-    out = {"id": pa.array(bucket.ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())}
     if "rest" in left.column_names:
-        null = left.column("text").is_null().to_pylist()
-        texts = [None if null[i] else k.decode(errors="ignore") for i, k in zip(bucket.order, kept, strict=True)]
-        out = {"rest": left.column("rest").take(pa.array(bucket.order, pa.int64())).combine_chunks(), "text": pa.array(texts, pa.string())}
-    return pa.table(out)
+        texts = [k.decode(errors="ignore") for k in kept]
+        return pa.table({"rest": left.column("rest").take(pa.array(bucket.order, pa.int64())).combine_chunks(), "text": pa.array(texts, pa.string())})
+    return pa.table({"id": pa.array(bucket.ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
+
+
+def _idle(id_col: str, text_col: str) -> Column:
+    """Rows that no match can touch."""
+    return F.col(id_col).isNull() | F.col(text_col).isNull() | (F.octet_length(text_col) < MATCH)
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str) -> DataFrame:
+    docs = docs.filter(~_idle(id_col, text_col))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
+    key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets))  # an id with many texts has them in many buckets
+    given = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more).groupBy("bucket")
+    sent = given.applyInArrow(_minimizers(parts), "part long, bucket long, keys binary")
+    bits = sent.groupBy("part").applyInArrow(_shared, "bucket long, part long, bits binary")
+    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(_stretches(parts), "part long, bucket long, keys binary, content binary, ids binary")
+    verdicts = stretches.groupBy("part").applyInArrow(_verdicts, "bucket long, part long, bits binary, verdicts binary")
+    told = bits.withColumn("verdicts", F.lit(None).cast("binary")).union(verdicts)
+    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(_texts(parts), "part long, bucket long, ids binary, places binary, text binary, settled binary")
+    factors = doubt.groupBy("part").applyInArrow(_factors, "bucket long, settled binary, masks binary")
+    return given.cogroup(factors.groupBy("bucket")).applyInArrow(_last_pass, schema)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """id, n_bytes, spans (start, end, start, end, ...: maximal removed runs of bytes) and kept (the bytes that are left).
 
     Null and empty texts have no bytes. Documents with one id are neither smaller nor larger than each other, so equal
-    rows keep their texts; a null id takes no part and keeps its text. Other columns are not read; an empty table gives an
-    empty result. kept may end inside a UTF-8 character, as matches are of bytes.
+    rows keep their texts; a null id takes no part and keeps its text. Rows that repeat id and text meet in one bucket.
+    Other columns are not read; an empty table gives an empty result. kept may end inside a UTF-8 character, as matches are of bytes.
     """
     done = _run(docs, id_col, text_col, bucket_bytes, [], "id long, n_bytes long, spans array<long>, kept binary")
-    return done.withColumnRenamed("id", id_col)
-
-
-def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str) -> DataFrame:
-    total = total_bytes(docs, text_col)
-    buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(buckets))
-    dealt = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
-    sent = dealt.groupBy("bucket").applyInArrow(_first_pass(parts), "part long, bucket long, ids binary, keys binary")
-    verdicts = sent.groupBy("part").applyInArrow(_verdicts, "bucket long, part long, verdicts binary")
-    doubt = dealt.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(_second_pass(parts), "part long, bucket long, ids binary, places binary, text binary, settled binary")
-    edges = doubt.groupBy("part").applyInArrow(_edges, "bucket long, settled binary, masks binary")
-    return dealt.groupBy("bucket").cogroup(edges.groupBy("bucket")).applyInArrow(_last_pass, schema)
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    idle = docs.filter(_idle(id_col, text_col)).select(F.col(id_col).cast("long"), F.octet_length(data).cast("long"), F.array().cast("array<long>"), data)
+    return done.union(idle).withColumnRenamed("id", id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with repeated passages taken out of the text, every other column as it is; characters that a cut breaks go too.
     A text with nothing left stays as an empty one; a null text stays null. The text is moved once, with its row."""
     others = [c for c in docs.columns if c != text_col]
-    rest = F.struct(*others)
+    rest = F.struct(*[F.col(f"`{c}`") for c in others])
     kind = docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString()
     done = _run(docs, id_col, text_col, bucket_bytes, [rest.alias("rest")], f"rest {kind}, text string")
-    return done.select(*[(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c)) for c in docs.columns])
+    back = done.select(*[(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c)) for c in docs.columns])
+    return back.union(docs.filter(_idle(id_col, text_col)))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

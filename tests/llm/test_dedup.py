@@ -166,10 +166,63 @@ def test_cut_repeats_keeps_other_columns(spark, corpus):
     assert [r.text for r in rows if r.doc_id == 300] == [None]
 
 
+def factors_brute(text, starts, docs, most):
+    out = []
+    for s, d in zip(starts, docs, strict=True):
+        best = 0
+        for t, e in zip(starts, docs, strict=True):
+            n = 0
+            while e < d and n < most and text[s + n] == text[t + n]:
+                n += 1
+            best = max(best, n)
+        out.append(best)
+    return out
+
+
 def test_previous_factors():
     text = np.frombuffer(b"x" * 60 + b"y" * 60 + b"x" * 60, np.uint8)
     got = suffix_dedup.longest_previous_factors(text, np.array([0, 60, 120]), np.array([5, 5, 9]))
     assert got.tolist() == [0, 0, 50]
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        most, letters = int(r.integers(2, 20)), int(r.integers(1, 4))
+        text = r.integers(0, letters, 160).astype(np.uint8)  # few letters: long shared runs of every length, zero bytes too
+        starts = np.sort(r.choice(160 - most, int(r.integers(1, 90)), replace=False))
+        docs = r.integers(0, int(r.integers(1, 40)), len(starts))
+        assert suffix_dedup.longest_previous_factors(text, starts, docs, most).tolist() == factors_brute(text, starts, docs, most)
+
+
+def test_a_line_in_every_document(spark, monkeypatch):
+    """Its surroundings differ in each: minimizers with many contents, dealt on by windows."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    r = random.Random(6)
+    line = words(r, 20)
+    rows = [(r.randrange(10**6), f"{words(r, 12)} {line} {words(r, 12)}") for _ in range(150)]
+    got = {x.doc_id: (x.n_bytes, bytes(x.kept)) for x in suffix_dedup.find_repeats(frame(spark, rows), bucket_bytes=3000).collect()}
+    assert got == repeats_brute(rows)
+
+
+def test_hot_and_null_ids_in_repeats(spark):
+    """One id on a third of the rows, and a table of null ids."""
+    r = random.Random(7)
+    base = [words(r, 40) for _ in range(20)]
+    rows = [(7 if i % 3 == 0 else i, f"{r.choice(base)} {words(r, 5)}") for i in range(90)]
+    found = suffix_dedup.find_repeats(frame(spark, rows), bucket_bytes=2000)
+    got = sorted((x.doc_id, x.n_bytes, bytes(x.kept)) for x in found.collect())
+    seen = {}
+    for i, t in rows:
+        for p in range(len(t.encode()) - 49):
+            seen[t.encode()[p : p + 50]] = min(i, seen.get(t.encode()[p : p + 50], i))
+    want = []
+    for i, t in rows:
+        data, gone = t.encode(), set()
+        for p in range(len(data) - 49):
+            if seen[data[p : p + 50]] < i:
+                gone |= set(range(p, p + 50))
+        want.append((i, len(data), bytes(c for p, c in enumerate(data) if p not in gone)))
+    assert got == sorted(want)
+    nulls = suffix_dedup.find_repeats(frame(spark, [(None, t) for _, t in rows])).collect()
+    assert len(nulls) == len(rows) and sorted(bytes(x.kept) for x in nulls) == sorted(t.encode() for _, t in rows)
 
 
 def test_empty_tables(spark):
