@@ -250,9 +250,9 @@ def _stretches(parts: int):
     return run
 
 
-def _verdicts(table: pa.Table) -> pa.Table:
+def _verdicts(table: pa.Table, hot: int = HOT) -> pa.Table:
     """Of each stretch: 1 if a smaller document has it too; 2 if it is the first of its content but its minimizer has other
-    contents as well, 3 if it has more than HOT of them; else 0."""
+    contents as well, 3 if it has more than `hot` of them; else 0."""
     blobs = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
     small, doc = np.concatenate(blobs), np.concatenate([read_ids(x) for x in table.column("ids").to_pylist()])
     one, two = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("content").to_pylist()]).T
@@ -266,7 +266,7 @@ def _verdicts(table: pa.Table) -> pa.Table:
     contents = np.repeat(np.add.reduceat(new.astype(np.int64), begin), sizes)
     differ = np.repeat(np.maximum.reduceat(d, begin) > np.minimum.reduceat(d, begin), sizes)
     verdict = np.empty(len(s), np.uint8)
-    verdict[order] = np.where(d > d[head], 1, np.where((contents > 1) & differ, np.where(contents > HOT, 3, 2), 0))
+    verdict[order] = np.where(d > d[head], 1, np.where((contents > 1) & differ, np.where(contents > hot, 3, 2), 0))
     out = np.split(verdict, np.cumsum([len(x) for x in blobs])[:-1])
     return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "bits": pa.nulls(len(out), pa.binary()), "verdicts": pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())})
 
@@ -385,7 +385,7 @@ def _idle(id_col: str, text_col: str) -> Column:
     return F.col(id_col).isNull() | F.col(text_col).isNull() | (F.octet_length(text_col) < MATCH)
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str, hot: int = HOT) -> DataFrame:
     docs = docs.filter(~_idle(id_col, text_col))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
@@ -394,21 +394,21 @@ def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: l
     sent = given.applyInArrow(_minimizers(parts), "part long, bucket long, keys binary")
     bits = sent.groupBy("part").applyInArrow(_shared, "bucket long, part long, bits binary")
     stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(_stretches(parts), "part long, bucket long, keys binary, content binary, ids binary")
-    verdicts = stretches.groupBy("part").applyInArrow(_verdicts, "bucket long, part long, bits binary, verdicts binary")
+    verdicts = stretches.groupBy("part").applyInArrow(lambda table: _verdicts(table, hot), "bucket long, part long, bits binary, verdicts binary")
     told = bits.withColumn("verdicts", F.lit(None).cast("binary")).union(verdicts)
     doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(_texts(parts), "part long, bucket long, ids binary, places binary, text binary, settled binary")
     factors = doubt.groupBy("part").applyInArrow(_factors, "bucket long, settled binary, masks binary")
     return given.cogroup(factors.groupBy("bucket")).applyInArrow(_last_pass, schema)
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """id, n_bytes, spans (start, end, start, end, ...: maximal removed runs of bytes) and kept (the bytes that are left).
 
     Null and empty texts have no bytes. Documents with one id are neither smaller nor larger than each other, so equal
     rows keep their texts; a null id takes no part and keeps its text. Rows that repeat id and text meet in one bucket.
     Other columns are not read; an empty table gives an empty result. kept may end inside a UTF-8 character, as matches are of bytes.
     """
-    done = _run(docs, id_col, text_col, bucket_bytes, [], "id long, n_bytes long, spans array<long>, kept binary")
+    done = _run(docs, id_col, text_col, bucket_bytes, [], "id long, n_bytes long, spans array<long>, kept binary", hot)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     idle = docs.filter(_idle(id_col, text_col)).select(F.col(id_col).cast("long"), F.octet_length(data).cast("long"), F.array().cast("array<long>"), data)
     return done.union(idle).withColumnRenamed("id", id_col)

@@ -192,13 +192,12 @@ def test_previous_factors():
         assert suffix_dedup.longest_previous_factors(text, starts, docs, most).tolist() == factors_brute(text, starts, docs, most)
 
 
-def test_a_line_in_every_document(spark, monkeypatch):
+def test_a_line_in_every_document(spark):
     """Its surroundings differ in each: minimizers with many contents, dealt on by windows."""
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
     r = random.Random(6)
     line = words(r, 20)
     rows = [(r.randrange(10**6), f"{words(r, 12)} {line} {words(r, 12)}") for _ in range(150)]
-    got = {x.doc_id: (x.n_bytes, bytes(x.kept)) for x in suffix_dedup.find_repeats(frame(spark, rows), bucket_bytes=3000).collect()}
+    got = {x.doc_id: (x.n_bytes, bytes(x.kept)) for x in suffix_dedup.find_repeats(frame(spark, rows), bucket_bytes=3000, hot=3).collect()}
     assert got == repeats_brute(rows)
 
 
