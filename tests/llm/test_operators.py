@@ -395,3 +395,35 @@ def test_every_query_gets_its_neighbours(spark, monkeypatch):
     assert got == Counter({i: 10 for i in {i for i, _ in near + lone} | {9900}})
     few = held.filter("vec_id >= 9000 and vec_id < 9006")
     assert Counter(x.query_id for x in ann.nearest(few, few).collect()) == Counter({9000 + i: 5 for i in range(6)})
+
+
+def recall_of(found, ids, x, k=10):
+    """Share of true neighbours that were found, and of all vectors that were measured, both over the queries."""
+    of, at = {}, {i: n for n, i in enumerate(ids.tolist())}
+    for r in found:
+        of.setdefault(r.query_id, ([], r.measured))[0].append(r.vec_id)
+    hits = 0
+    for q, (near, _) in of.items():
+        far = ((x - x[at[q]]) ** 2).sum(1)
+        far[at[q]] = np.inf
+        hits += len(set(near) & set(ids[np.lexsort((ids, far))[:k]].tolist()))
+    return hits / (k * len(of)), sum(m for _, m in of.values()) / (len(of) * len(x))
+
+
+def test_recall_on_the_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("embedding is not null").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    recall, share = recall_of(ann.op1_ann(spark, "/root/testdata/sf0.1").collect(), ids, x)
+    assert recall >= 0.9 and share < 0.3
+
+
+def test_few_vectors_are_measured(spark):
+    r = np.random.default_rng(12)
+    centres = r.normal(size=(80, 16)) * 4
+    x = centres[r.integers(0, 80, 12_000)] + r.normal(size=(12_000, 16))
+    held = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    recall, share = recall_of(ann.nearest(held, held.filter("vec_id % 100 = 0")).collect(), np.arange(len(x)), x)
+    assert recall >= 0.9 and share < 0.05
+    few = held.filter("vec_id < 2000")
+    exact = ann.nearest(few, few.filter("vec_id % 100 = 0"), probes=10**6, rerank=None).collect()
+    assert recall_of(exact, np.arange(2000), x[:2000]) == (1.0, 1999 / 2000)
