@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,16 @@ SALTS = 64
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a
+    folder of its own; on a cluster executors would each write to their own disks, so there it is an error."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semafold-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="semafold-")
     spark.sparkContext.setCheckpointDir(base)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -38,33 +43,54 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own beside those of a caller, which may have any."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def survivor_bits(keys: DataFrame, key: Column) -> DataFrame:
-    """A bit for each key hash: columns _word, _bits; never over BIT_WORDS rows however many keys there are.
+    """A bit for each key hash: columns word, bits; never over BIT_WORDS rows however many keys there are.
 
     Membership has false positives (two keys on one bit) and no false negatives, so it only ever spares work."""
     slot = F.pmod(F.xxhash64(key), F.lit(BIT_WORDS * 64))
     return (
-        keys.select(F.floor(slot / 64).cast("long").alias("_word"), F.expr("1L").alias("_one"), (slot % 64).cast("int").alias("_at"))
-        .groupBy("_word")
-        .agg(F.expr("bit_or(shiftleft(_one, _at))").alias("_bits"))
+        keys.select(F.floor(slot / 64).cast("long").alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("at"))
+        .groupBy("word")
+        .agg(F.expr("bit_or(shiftleft(one, at))").alias("bits"))
     )
 
 
 def with_survivor_flag(df: DataFrame, bits: DataFrame, key: Column, flag: str) -> DataFrame:
-    """df with a boolean column that is true wherever key is (or, rarely, seems) among the keys of bits."""
+    """df with a boolean column that is true wherever key is (or, rarely, seems) among the keys of bits. Broadcast: BIT_WORDS rows at most."""
+    word, at, held = fresh([*df.columns, flag], "word", "at", "bits")
     slot = F.pmod(F.xxhash64(key), F.lit(BIT_WORDS * 64))
-    probed = df.withColumns({"_word": F.floor(slot / 64).cast("long"), "_at": (slot % 64).cast("int")})
-    joined = probed.join(F.broadcast(bits), "_word", "left")
-    hit = F.coalesce(F.expr("(shiftright(_bits, _at) & 1L) = 1L"), F.lit(False))
-    return joined.withColumn(flag, hit).drop("_word", "_at", "_bits")
+    probed = df.withColumns({word: F.floor(slot / 64).cast("long"), at: (slot % 64).cast("int")})
+    joined = probed.join(F.broadcast(bits.toDF(word, held)), word, "left")
+    hit = F.coalesce(F.expr(f"(shiftright({held}, {at}) & 1L) = 1L"), F.lit(False))
+    return joined.select(*[column(c) for c in df.columns], hit.alias(flag))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows whose id is in gone (one column). Rows that the survivor bits clear are not moved at all."""
-    gone = materialise(gone.toDF("_gone").distinct(), "gone")
-    flagged = with_survivor_flag(docs, survivor_bits(gone, F.col("_gone")), F.col(id_col).cast("long"), "_flag")
-    rest = flagged.filter("_flag").drop("_flag")
-    return flagged.filter("not _flag").drop("_flag").unionByName(rest.join(gone, rest[id_col] == gone["_gone"], "left_anti"))
+def without(docs: DataFrame, gone: DataFrame, id_col: str, also: Column | None = None) -> DataFrame:
+    """docs without the rows whose id is in gone (one column), or whose id and `also` are (two columns). Rows that the survivor
+    bits clear are not moved at all."""
+    name, more, flag = fresh(docs.columns, "gone", "also", "flag")
+    gone = materialise((gone.toDF(name) if also is None else gone.toDF(name, more)).distinct(), "gone")
+    flagged = with_survivor_flag(docs, survivor_bits(gone, column(name)), column(id_col).cast("long"), flag)
+    rest = flagged.filter(column(flag)).drop(flag)
+    same = column(id_col).cast("long") == column(name)
+    return flagged.filter(~column(flag)).drop(flag).unionByName(rest.join(gone, same if also is None else same & (also == column(more)), "left_anti"))
 
 
 def salt(column: str, parts: int = SALTS) -> Column:
@@ -88,19 +114,32 @@ def released() -> None:
         return
 
 
-def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    """UTF-8 of a string column, nulls as empty."""
-    return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
+def releasing(task: Callable) -> Callable:
+    """A task over one Arrow table, or a pair of them, that hands its memory back when it is done."""
 
+    def one(table: pa.Table) -> pa.Table:
+        out = task(table)
+        released()
+        return out
 
-def binary_views(array: pa.Array) -> Iterator[np.ndarray]:
-    for v in array.to_pylist():
-        yield np.frombuffer(v or b"", np.uint8)
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = task(left, right)
+        released()
+        return out
 
+    return two if task.__code__.co_argcount == 2 else one
 
-def rank_rows(ids: list) -> np.ndarray:
-    """Positions of ids in ascending order, nulls first."""
-    return np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0)), np.int64)
+
+def dealt(part: np.ndarray) -> dict[int, np.ndarray]:
+    """For each part that occurs, the places where it does, in order."""
+    order = np.argsort(part, kind="stable")
+    begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+    return dict(zip(part[order][begin].tolist(), np.split(order, begin[1:]), strict=True)) if len(begin) else {}
+
+
+def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """UTF-8 of a string column, nulls as empty."""
+    return [b"" if v is None else v for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def total_bytes(docs: DataFrame, text_col: str) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import materialise, salt, survivor_bits, with_survivor_flag
+from semafold.llm.common import column, materialise, salt, survivor_bits, with_survivor_flag, without
 
 PREFIX_BYTES = 128
 
@@ -59,11 +59,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A row given up never takes another text of its id with it."""
     found = _found(docs, id_col, text_col, False)
-    gone = materialise(found.filter("not kept and id is not null").select(F.col("id").alias("_gone"), F.col("h").alias("_digest")).distinct(), "gone")
-    flagged = with_survivor_flag(docs, survivor_bits(gone, F.col("_gone")), F.col(id_col).cast("long"), "_flag")
-    rest = flagged.filter("_flag").drop("_flag")
-    digest = F.unhex(F.sha2(F.coalesce(rest[text_col], F.lit("")).cast("binary"), 256))
-    return flagged.filter("not _flag").drop("_flag").unionByName(rest.join(gone, (rest[id_col].cast("long") == gone["_gone"]) & (digest == gone["_digest"]), "left_anti"))
+    digest = F.unhex(F.sha2(F.coalesce(column(text_col), F.lit("")).cast("binary"), 256))
+    return without(docs, found.filter("not kept and id is not null").select("id", "h"), id_col, digest)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

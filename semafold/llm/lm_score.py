@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import materialise, text_bytes, total_bytes
+from semafold.llm.common import dealt, materialise, released, releasing, text_bytes, total_bytes
 from semafold.llm.shingles import mix, word_hashes
 
 #: Text of a bucket, and of a part of the hash space.
@@ -74,13 +74,10 @@ def _from_six(data: bytes) -> np.ndarray:
 
 
 def _by_part(keys: np.ndarray, counts: np.ndarray, parts: int, by: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    part = ((keys if by is None else by) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((counts, part))
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if cuts[p] < cuts[p + 1]:
-            own = order[cuts[p] : cuts[p + 1]]
-            yield p, keys[own], counts[own]
+    """(part, keys, counts), each part's in order of count."""
+    for p, at in dealt(((keys if by is None else by) % np.uint64(parts)).astype(np.int64)).items():
+        at = at[np.argsort(counts[at], kind="stable")]
+        yield p, keys[at], counts[at]
 
 
 WORDS_KIND, PAIRS_KIND = 0, 1
@@ -105,11 +102,13 @@ def _count(parts: int):
             for text in text_bytes(batch, "text"):
                 held.append(text)
                 size += len(text)
-                if size > 2 * BUCKET_BYTES:
+                if size > BUCKET_BYTES:
                     yield _batch(rows(held))
                     held, size = [], 0
         if held:
             yield _batch(rows(held))
+        del held
+        released()
 
     def _batch(found: Iterator[tuple]) -> pa.RecordBatch:
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
@@ -200,23 +199,10 @@ def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) ->
     """The model of all texts of docs, and the parts with exact word counts and filter blocks."""
     parts = parts or max(1, -(-total_bytes(docs, text_col) // BUCKET_BYTES))
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(parts), "part long, kind int, keys binary, counts binary")
-    totals = materialise(counted.groupBy("part").applyInArrow(_total, TOTALS), "lm-totals")
+    totals = materialise(counted.groupBy("part").applyInArrow(releasing(_total), TOTALS), "lm-totals")
     return Model(totals, parts), totals.select("part", "words", "counts", "block")
 
 
-class Dealt:
-    """Distinct keys in the order of their parts, which a bucket's question and its score both go by."""
-
-    def __init__(self, keys: np.ndarray, parts: int):
-        part = (keys % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
-        self.cuts = np.searchsorted(part[self.order], np.arange(parts + 1))
-
-    def of(self, part: int) -> np.ndarray:
-        """Where the keys of a part are."""
-        return self.order[self.cuts[part] : self.cuts[part + 1]]
-
-
 class Grams:
     """Tokens of a bucket, its distinct words and pairs, and how they are dealt to parts. The order of the rows has no effect on the last."""
 
@@ -225,14 +211,15 @@ class Grams:
         self.words, self.which = np.unique(self.tokens.hashes, return_inverse=True)
         self.inner = np.flatnonzero(~self.tokens.first)
         self.pairs, self.which_pair = np.unique(pair_key(self.tokens.hashes[self.inner - 1], self.tokens.hashes[self.inner]), return_inverse=True)
-        self.by_word, self.by_pair = Dealt(word_key(self.words), parts), Dealt(self.pairs, parts)
+        self.by_word, self.by_pair = (dealt((keys % np.uint64(parts)).astype(np.int64)) for keys in (word_key(self.words), self.pairs))
 
 
 def _ask(parts: int):
     def run(table: pa.Table) -> pa.Table:
         held = Grams(table, parts)
         b = table.column("bucket")[0].as_py()
-        rows = [(p, b, held.words[w].tobytes(), _six(held.pairs[x])) for p in range(parts) if len(w := held.by_word.of(p)) + len(x := held.by_pair.of(p))]
+        none = np.zeros(0, np.int64)
+        rows = [(p, b, held.words[held.by_word.get(p, none)].tobytes(), _six(held.pairs[held.by_pair.get(p, none)])) for p in held.by_word.keys() | held.by_pair.keys()]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "bucket", "words", "pairs"])
@@ -263,13 +250,13 @@ def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
 def _score(model: Model):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = Grams(left, model.parts)
-        tokens, which, inner = held.tokens, held.which, held.inner
+        tokens, which, inner, none = held.tokens, held.which, held.inner, np.zeros(0, np.int64)
         exact, estimated, seen = np.zeros(len(held.words), np.int64), np.zeros(len(held.words)), np.zeros(len(held.pairs))
         for part, counts, levels, pairs in zip(*[right.column(c).to_pylist() for c in ("part", "counts", "levels", "pairs")], strict=True):
-            own = held.by_word.of(part)
+            own, pairs_own = held.by_word.get(part, none), held.by_pair.get(part, none)
             exact[own] = np.frombuffer(counts, "<u4" if len(counts) == 4 * len(own) else "<i8")
             estimated[own] = VALUES[np.frombuffer(levels, "u1")]
-            seen[held.by_pair.of(part)] = VALUES[np.frombuffer(pairs, "u1")]
+            seen[pairs_own] = VALUES[np.frombuffer(pairs, "u1")]
         begins = np.cumsum(tokens.sizes) - tokens.sizes
         base = np.log10((exact + 1.0) / (model.tokens + model.types + 1.0))
         single = (1 - model.unknown) * estimated / model.mass
@@ -296,13 +283,13 @@ def score(docs: DataFrame, model: Model, word_counts: DataFrame, held_out: Colum
     matter; other columns are not read; an empty table gives an empty result. held_out is passed through.
     """
     buckets = max(1, -(-total_bytes(docs, text_col) // BUCKET_BYTES))
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(buckets))
-    dealt = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets))  # an id with many texts has them in many buckets
+    given = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     shares = max(1, buckets // model.parts)  # a small model is asked by many buckets: each part answers in as many tasks
-    asked = dealt.groupBy("bucket").applyInArrow(_ask(model.parts), "part long, bucket long, words binary, pairs binary").withColumn("share", F.col("bucket") % shares)
+    asked = given.groupBy("bucket").applyInArrow(releasing(_ask(model.parts)), "part long, bucket long, words binary, pairs binary").withColumn("share", F.col("bucket") % shares)
     held = word_counts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    answers = asked.groupBy("part", "share").cogroup(held.groupBy("part", "share")).applyInArrow(_answer, ANSWERS)
-    out = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(model), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = asked.groupBy("part", "share").cogroup(held.groupBy("part", "share")).applyInArrow(releasing(_answer), ANSWERS)
+    out = given.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(releasing(_score(model)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -6,10 +6,12 @@
    signatures, corrected for chance agreement (1 in 16), drop pairs that are far below the threshold.
 3. What is left is confirmed on full shingle sets, read again for the candidates only.
 4. Confirmed links give components. Band keys whose other members are still in different components are then compared
-   on full sets across those components, in blocks of bounded size; so no link that shares a band key is lost, while a
-   large group that its two pivots already connect costs only its own size.
+   on full sets across those components, in blocks of bounded size, while a large group that its two pivots already
+   connect costs only its own size.
 
-A pair at the threshold shares a band key with probability 1 - (1 - 0.75^4)^32, over 0.99999.
+What may be lost: a pair at the threshold shares a band key with probability 1 - (1 - 0.75^4)^32, over 0.99999; and a pivot
+pair whose signatures say less than THRESHOLD - MARGIN (over four standard deviations, about 3 in 100,000 at the threshold)
+is not confirmed and counts only if other links lead from one to the other.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import components, materialise, survivor_bits, text_bytes, with_survivor_flag, without
+from semafold.llm.common import components, materialise, released, slices, survivor_bits, text_bytes, with_survivor_flag, without
 from semafold.llm.shingles import WORDS, mix, shingle_set
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -30,8 +32,8 @@ HASHES = BANDS * ROWS
 THRESHOLD = 0.75
 #: The estimate's standard deviation at the threshold is 0.041; pairs estimated over four of them below it are dropped.
 MARGIN = 0.17
-#: Members of a band key that one task compares with each other; larger keys are dealt to pairs of blocks.
-BLOCK = 512
+#: Members of a band key in a block, and shingles of them; larger keys are dealt to blocks, and pairs of blocks to tasks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
 _random = np.random.default_rng(5)
 _A = (_random.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _random.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -63,7 +65,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
     """id, n (set size), digest of the set, sig (packed signature) and bands (keys); sets of size 0 have neither."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, sig, bands = [], [], [], []
             for data in text_bytes(batch, "text"):
                 found = shingle_set(data, words)
@@ -77,6 +79,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
                 bands.append(band_keys(least))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, longs), pa.array(bands, longs)], names=["id", "n", "digest", "sig", "bands"])
+        released()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, "id long, n long, digest binary, sig array<long>, bands array<long>")
@@ -86,9 +89,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words:
     """(id, n, s): the full shingle sets of the documents in ids. The scan drops most others before anything is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             found = [shingle_set(data, words) for data in text_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "n", "s"])
+        released()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ids = materialise(ids, "ids")
@@ -122,11 +126,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
     return both.withColumn("i", common.cast("long")).filter(f"100 * i >= {percent} * (nu + nv - i)").select("u", "v")
 
 
-def cross_links(members: DataFrame, threshold: float) -> DataFrame:
+def cross_links(members: DataFrame, threshold: float, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (u, v) between members (key, id, component, s) of one key and different components, on their full sets s.
 
     A key's members meet in blocks, each pair of blocks in a task: a set travels once a block, not once a pair."""
-    counts = members.groupBy("key").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    needed = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("s")) / shingles))
+    counts = members.groupBy("key").agg(needed.cast("int").alias("blocks"))
     placed = members.join(materialise(counts.select("key", "blocks"), "blocks"), "key")
     at = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     dealt = placed.withColumn("at", at).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -167,7 +172,7 @@ def cross_links(members: DataFrame, threshold: float) -> DataFrame:
     return tasks.groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """A row per input row: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
 
     Links join documents whose shingle sets overlap by threshold or more (intersection over union). Texts without words,
@@ -198,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not spread.isEmpty():
         members = materialise(inner.join(spread, "key"), "members")
         sets = sets_of(docs, members.select("id").distinct(), id_col, text_col, words)
-        further = materialise(cross_links(members.join(sets.select("id", "s"), "id"), threshold), "links")
+        further = materialise(cross_links(members.join(sets.select("id", "s"), "id"), threshold, block), "links")
         if not further.isEmpty():
             labels = components(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).union(further))
 

@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semafold.llm.common import released, slices
+
 WINDOW = 1024
-#: Documents that one task packs. A share of this size leaves well under one window in a hundred unfilled.
+#: Pieces that one task packs at most, but for chance. A share of this size leaves well under one window in a hundred unfilled.
 SHARE = 20_000
-#: Encoded pieces of text that a worker remembers before it starts afresh.
-MEMO = 400_000
+#: Bytes of pieces of text, with what comes with each, that a worker remembers before it starts afresh.
+MEMO_BYTES, _ENTRY = 32 << 20, 160
 _SPACES = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -98,14 +100,14 @@ class Encoder:
     Pieces between single spaces encode independently of their neighbours under this pre-tokenizer, so a worker encodes
     each distinct piece once: Latin pieces by tiktoken under the same vocabulary as ranks (the ids agree, it is faster),
     others by the tokenizers library. Texts with white space on both sides of a space, or with the text of an added
-    token, are encoded whole by the library. memo: the number of pieces that are remembered.
+    token, are encoded whole by the library. memo: bytes of pieces that are remembered.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.tokenizer, self.memo, self.known, self.held = Tokenizer.from_file(path), memo, {}, 0
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
@@ -126,12 +128,14 @@ class Encoder:
             return b"".join([known[x] for x in pieces])
         except KeyError:
             pass
-        if len(known) > self.memo:
+        if self.held > self.memo:
             known.clear()
+            self.held = 0
         encode = self.latin.encode_ordinary
         for x in pieces:
             if x not in known:
-                known[x] = array("I", encode(x)).tobytes() if not x or max(x) < "\u0250" else self.whole(x)
+                got = known[x] = array("I", encode(x)).tobytes() if not x or max(x) < "\u0250" else self.whole(x)
+                self.held += len(x) + len(got) + _ENTRY
         return b"".join([known[x] for x in pieces])
 
 
@@ -154,7 +158,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = encode(text or "") + end
@@ -169,17 +173,19 @@ def cut(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0,
                 arrays.append(pa.array([x.astype(np.int64) for x in columns[5]], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        released()
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, PIECE + (", ids array<long>" if ids else ""))
 
 
-def pack(pieces: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """pieces (doc_id, start, length, ...) with sequence_id and offset, gapless from 0 within a sequence of at most window.
 
-    Pieces are dealt by document to shares of about `share`, so a task's memory doesn't grow with the input. Each share
-    sorts by falling length (ties by doc_id and start), so a rerun packs alike. Repeated or null doc_ids are pieces like
-    any other. share is a target, not a limit: no piece is dropped.
+    A task packs the pieces of its partition, so a caller deals them out. It sorts by falling length (ties by doc_id, start
+    and checksum), so a rerun packs alike. Repeated or null doc_ids are pieces like any other; no piece is dropped. At most
+    one sequence of a task is at most half full, so padding is under half of all; of pieces as short as a few hundred
+    tokens on average it is a few in ten thousand. Sequences of a power-of-two length need no padding and are not padded.
     """
     columns = pieces.columns
 
@@ -187,7 +193,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFra
         frames = [f for f in frames if len(f)]
         if not frames:
             return
-        frame = pd.concat(frames).sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", na_position="first")
+        frame = pd.concat(frames).sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
         places, offsets = best_fit_decreasing(frame["length"].tolist(), window)
         frame["sequence_id"] = (TaskContext.get().partitionId() << 40) + np.array(places, np.int64)
         frame["offset"] = np.array(offsets, np.int64)
@@ -199,9 +205,15 @@ def pack(pieces: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, share: int = SHARE, ids: bool = False, **columns: str) -> DataFrame:
-    """cut() and pack(). Null and empty texts are the end id alone; an empty table gives an empty result; other columns are not read."""
-    shares = max(1, -(-docs.count() // share))
-    return pack(cut(docs, tokenizer, window, ids=ids, **columns).repartition(shares, "doc_id"), window, share)
+    """cut() and pack(). Null and empty texts are the end id alone; an empty table gives an empty result; other columns are not read.
+
+    A text has no more ids than bytes and the end, which bounds its pieces: shares are as many as `share` pieces each need.
+    Pieces are dealt by document, start and checksum, so neither a long document nor an id (or null) with many rows makes one heavy.
+    """
+    text = columns.get("text_col", "text")
+    most = docs.agg(F.sum(F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) + 1) / window))).first()[0] or 0
+    pieces = cut(docs, tokenizer, window, ids=ids, **columns)
+    return pack(pieces.repartition(max(1, -(-int(most) // share)), "doc_id", "start", "ids_crc32"), window)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

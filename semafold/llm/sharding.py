@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semafold.llm.common import column, fresh
+
 #: Production parameters: 64 shards over the prime 6,521, about 100 slots each.
 SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(64)], 6521
 
@@ -41,7 +43,7 @@ def fill_table(shards: list[str], slots: int = SLOTS) -> list[int]:
 
 
 def place(rows: DataFrame, key_col: str, shards: list[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """rows with slot and shard_id (int) and shard (name); existing columns of those names are replaced.
+    """rows with slot and shard_id (int) and shard (name); existing columns of those names are replaced, all others stay.
 
     A null key is placed as the empty text. Equal keys share a shard, so a hot key is as large as its rows: callers that
     only want even storage pass a key of their own, such as the row's id. The table has `slots` rows, whatever the input.
@@ -49,16 +51,13 @@ def place(rows: DataFrame, key_col: str, shards: list[str] = SHARDS, slots: int
     spark = rows.sparkSession
     taken = ",".join(map(str, fill_table(shards, slots)))
     names = F.array(*[F.lit(s) for s in shards])
-    table = spark.sql(f"SELECT posexplode(from_json('[{taken}]', 'array<int>')) AS (_slot, _shard)")
-    key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    at, claimed = fresh([*rows.columns, "slot", "shard_id", "shard"], "at", "claimed")
+    table = spark.sql(f"SELECT posexplode(from_json('[{taken}]', 'array<int>')) AS ({at}, {claimed})")
+    key = F.coalesce(column(key_col).cast("string"), F.lit(""))
     slot = (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % slots).cast("int")
-    keyed = rows.drop("slot", "shard_id", "shard") if key_col not in ("slot", "shard_id", "shard") else rows
-    return (
-        keyed.withColumn("_slot", slot)
-        .join(F.broadcast(table), "_slot")
-        .withColumns({"slot": F.col("_slot"), "shard_id": F.col("_shard"), "shard": F.element_at(names, F.col("_shard") + 1)})
-        .drop("_slot", "_shard")
-    )
+    kept = [column(c) for c in rows.columns if c.lower() not in ("slot", "shard_id", "shard")]
+    placed = rows.withColumn(at, slot).join(F.broadcast(table), at)
+    return placed.select(*kept, column(at).alias("slot"), column(claimed).alias("shard_id"), F.element_at(names, column(claimed) + 1).alias("shard"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

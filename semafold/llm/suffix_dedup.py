@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semafold.llm.common import dealt, releasing
 from semafold.llm.shingles import mix, powers
 
 MATCH, KGRAM = 50, 20
@@ -141,15 +142,12 @@ class Dealt:
 
     def __init__(self, keys: np.ndarray, parts: int, own: np.ndarray | None = None):
         self.keys, self.own = keys, own
-        self.of = dealt(keys, parts)
+        self.of = dealt(part_of(keys, parts))
 
 
-def dealt(keys: np.ndarray, parts: int) -> dict[int, np.ndarray]:
-    """Places of the keys of each part that has any, in order."""
-    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    begin = np.flatnonzero(np.diff(part[order], prepend=-1))
-    return dict(zip(part[order][begin].tolist(), np.split(order, begin[1:]), strict=True)) if len(begin) else {}
+def part_of(small: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each minimizer; the other half of its bits tells it from others there."""
+    return ((small >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def id_blob(docs: np.ndarray) -> bytes:
@@ -242,7 +240,7 @@ def _stretches(parts: int):
         rows = []
         if len(left) and len(right):
             bucket = _in_doubt(left, right, parts)
-            for p, at in dealt(bucket.small[bucket.first], parts).items():
+            for p, at in dealt(part_of(bucket.small[bucket.first], parts)).items():
                 reps = bucket.first[at]
                 rows.append((p, _number(left), bucket.small[reps].astype("<u4").tobytes(), bucket.content[at].tobytes(), id_blob(bucket.doc[reps])))
         return _table(rows, part=pa.int64(), bucket=pa.int64(), keys=pa.binary(), content=pa.binary(), ids=pa.binary())
@@ -281,7 +279,7 @@ def _texts(parts: int):
             number = _number(left)
             bucket = _in_doubt(left, right.filter(pa.array([not x for x in said])), parts)
             first, verdict = bucket.first, np.zeros(len(bucket.first), np.uint8)
-            own = dealt(bucket.small[first], parts)
+            own = dealt(part_of(bucket.small[first], parts))
             told = right.filter(pa.array(said))
             for p, blob in zip(told.column("part").to_pylist(), told.column("verdicts").to_pylist(), strict=True):
                 verdict[own[p]] = np.frombuffer(zlib.decompress(blob), np.uint8)
@@ -293,7 +291,7 @@ def _texts(parts: int):
             places = places[np.argsort(bucket.which[places], kind="stable")]
             rep = bucket.which[places]
             hot = verdict[rep] == 3
-            at, part = bucket.starts[places], ((bucket.small[places] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            at, part = bucket.starts[places], part_of(bucket.small[places], parts)
             record = np.stack([part[~hot], rep[~hot], np.zeros((~hot).sum(), np.int64), bucket.counts[places][~hot], at[~hot]], axis=1)
             if hot.any():  # a record for each window, dealt by all its bytes
                 counts = bucket.counts[places][hot]
@@ -391,14 +389,14 @@ def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: l
     buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets))  # an id with many texts has them in many buckets
     given = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more).groupBy("bucket")
-    sent = given.applyInArrow(_minimizers(parts), "part long, bucket long, keys binary")
+    sent = given.applyInArrow(releasing(_minimizers(parts)), "part long, bucket long, keys binary")
     bits = sent.groupBy("part").applyInArrow(_shared, "bucket long, part long, bits binary")
-    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(_stretches(parts), "part long, bucket long, keys binary, content binary, ids binary")
-    verdicts = stretches.groupBy("part").applyInArrow(lambda table: _verdicts(table, hot), "bucket long, part long, bits binary, verdicts binary")
+    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(releasing(_stretches(parts)), "part long, bucket long, keys binary, content binary, ids binary")
+    verdicts = stretches.groupBy("part").applyInArrow(releasing(lambda table: _verdicts(table, hot)), "bucket long, part long, bits binary, verdicts binary")
     told = bits.withColumn("verdicts", F.lit(None).cast("binary")).union(verdicts)
-    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(_texts(parts), "part long, bucket long, ids binary, places binary, text binary, settled binary")
-    factors = doubt.groupBy("part").applyInArrow(_factors, "bucket long, settled binary, masks binary")
-    return given.cogroup(factors.groupBy("bucket")).applyInArrow(_last_pass, schema)
+    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(releasing(_texts(parts)), "part long, bucket long, ids binary, places binary, text binary, settled binary")
+    factors = doubt.groupBy("part").applyInArrow(releasing(_factors), "bucket long, settled binary, masks binary")
+    return given.cogroup(factors.groupBy("bucket")).applyInArrow(releasing(_last_pass), schema)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:

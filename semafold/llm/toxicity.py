@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from semafold.llm.common import materialise, text_bytes
+from semafold.llm.common import column, fresh, materialise, released, slices, text_bytes
 from semafold.llm.shingles import mix, shingle_set
 
-#: Labelled rows that the lexicon is learned from, by a hash of the id; and the most entries it keeps. Both bound what a driver or worker holds.
-SAMPLE, LEXICON = 24_000, 50_000
+#: Labelled rows that the lexicon is learned from, by a hash of the id. This bounds what a driver or worker holds: an entry
+#: needs several toxic texts of the sample, so there are a few times fewer entries than the sampled toxic texts have words.
+SAMPLE = 24_000
 #: Beginnings of words that are evidence too, by length; readings of a token that are looked up.
 PREFIXES, READINGS = (4, 5, 6), 4
 #: Min-hashes of a labelled text; texts that share one count once.
@@ -31,8 +33,8 @@ SKETCHES = 6
 BY_CHANCE, NO_EVIDENCE = 0.2, 0.02
 #: Log probability that a separator or a space was put in; readings of doubled letters that are looked up; evidence of words that are put together.
 DROPPED, DOUBLED_READINGS, INNER = -1.0, 64, 0.3
-#: Tokens whose evidence a worker remembers.
-MEMO = 500_000
+#: Bytes of tokens, with what comes with each, whose evidence a worker remembers.
+MEMO_BYTES, _ENTRY = 24 << 20, 120
 
 # What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
@@ -180,7 +182,7 @@ class Evidence:
         self.starts = {w[:n] for w in self.whole for n in range(1, len(w))}
         self.longest = max(map(len, self.whole), default=0)
         self.squeezed = {_RUN.sub(r"\1", w) for w in self.whole}
-        self.formed, self.begins = {}, {}
+        self.formed, self.begins, self.held = {}, {}, 0
 
     def of(self, token: str) -> float:
         got = self.known.get(token)
@@ -191,6 +193,7 @@ class Evidence:
                     if _RUN.search(w) and _RUN.sub(r"\1", w) in self.squeezed:
                         found += [self.lexicon[r] for r in readings(w, self.letters, DOUBLED_READINGS) if r in self.whole]
             got = self.known[token] = max(found, default=0.0)
+            self.held += len(token) + _ENTRY
             if begins := [f for f in self.forms(token) if f in self.starts]:
                 self.begins[token] = begins
         return got
@@ -200,8 +203,10 @@ class Evidence:
         got = self.formed.get(token)
         if got is None:
             piece = token.translate(HIDDEN).strip(_EDGES) if len(token) <= 2 * self.longest else ""
-            odd = _SUSPICIOUS.search(piece) or piece and _ALL_PAIRS.fullmatch(piece)
-            got = self.formed[token] = (readings(piece, self.letters) if odd else [piece]) if piece else []
+            if not piece or not (_SUSPICIOUS.search(piece) or _ALL_PAIRS.fullmatch(piece)):
+                return [piece] if piece else []
+            got = self.formed[token] = readings(piece, self.letters)
+            self.held += (1 + READINGS) * (len(token) + _ENTRY)
         return got
 
     def across(self, tokens: list[str]) -> set[str]:
@@ -225,9 +230,10 @@ class Evidence:
         """Noisy-or of the evidence of the distinct tokens."""
         tokens = text.lower().split()
         known = self.known
-        if len(known) > MEMO or len(self.formed) > MEMO:
+        if self.held > MEMO_BYTES:
             for held in (known, self.formed, self.begins):
                 held.clear()
+            self.held = 0
         found = [v if (v := known.get(t)) is not None else self.of(t) for t in set(tokens)]
         spaced = []
         if any(map(_SINGLE, tokens)):
@@ -247,14 +253,16 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, letters: np.ndarray, sampl
 
     Copies would lend chance words weight, so texts that share one of SKETCHES min-hashes of their shingles count once. A
     feature seen in t toxic and c other texts needs t >= t0, the number of all-toxic texts that chance alone would bring
-    about BY_CHANCE features to, and has t / (t + c + t0), less where others use it. Without rows of both labels the lexicon is empty.
+    about BY_CHANCE features to (of those that two toxic and five texts in all have), and has t / (t + c + t0), less where others use it. Without rows of both labels the lexicon is empty.
     """
-    picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    chosen = materialise(picked.orderBy(F.xxhash64("_id"), "_id").limit(sample), "labelled")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col("_id").alias("id"), F.col(text_col).alias("text"), F.col("_label").cast("int").alias("toxic"))
+    picked = labels.select(column(id_col).cast("long").alias("id"), column(label_col).cast("int").alias("toxic")).filter("id is not null and toxic is not null")
+    picked = picked.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    chosen = materialise(picked.orderBy(F.xxhash64("id"), "id").limit(sample), "labelled")
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id")  # `sample` rows at most
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(x) for x in text_bytes(batch, "text")]
             least = [[int(mix(s ^ np.uint64(i)).min() >> np.uint64(1)) if len(s) else 0 for s in sets] for i in range(SKETCHES)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(x, pa.int64()) for x in least]], names=["id", *sketches])
@@ -263,13 +271,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, letters: np.ndarray, sampl
     alone = rows.mapInArrow(sketched, "id long, " + ", ".join(f"{x} long" for x in sketches))
     for x in sketches:
         alone = alone.groupBy(x).agg(*[F.min_by(y, "id").alias(y) for y in ["id", *sketches] if y != x])
-    once = docs.join(F.broadcast(materialise(alone.select("id").distinct(), "sketched").join(chosen, F.col("id") == F.col("_id")).select("_id", "_label")), docs[id_col] == F.col("_id"))
-    once = once.select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("toxic"))
+    alone = materialise(alone.select("id").distinct(), "sketched")
+    once = texts.join(F.broadcast(alone.join(chosen, "id")), "id").select("text", "toxic")  # no more rows than chosen
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         total = [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 label = int(toxic > 0)
                 total[label] += 1
@@ -278,6 +286,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, letters: np.ndarray, sampl
         names = [*counts, ""]
         values = [*counts.values(), total]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([v[1] for v in values], pa.int64()), pa.array([v[0] for v in values], pa.int64())], names=["feature", "t", "c"])
+        released()
 
     table = once.mapInArrow(counted, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     table = materialise(table.filter("feature = '' or t > 1"), "features")
@@ -286,7 +295,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, letters: np.ndarray, sampl
         return {}
     often = table.filter("feature <> '' and t + c >= 5").count()
     least = max(3.0, math.log(max(often, 1) / BY_CHANCE) / math.log((t + c) / t))
-    rows = table.filter(F.col("t") >= least).filter("feature <> '' and t > c").orderBy(F.desc("t"), "feature").limit(LEXICON).collect()
+    rows = table.filter(F.col("t") >= least).filter("feature <> '' and t > c").collect()  # see SAMPLE for how many those may be
     return weighed({r.feature: (r.t, r.c) for r in rows}, least)
 
 
@@ -307,23 +316,27 @@ def weighed(counts: dict[str, tuple[int, int]], least: float) -> dict[str, float
     return out
 
 
-def score_texts(docs: DataFrame, letters: np.ndarray, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with toxicity (double, 0 to 1) for each row, by its text alone.
+def score_texts(docs: DataFrame, letters: np.ndarray, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """docs with score_col (double, 0 to 1) for each row, by its text alone.
 
     Null and empty texts have NO_EVIDENCE. Nulls in other columns, repeated rows and extra columns are passed on as they
-    are (a column named toxicity is replaced); an empty table gives an empty result.
+    are (a column named score_col is replaced); an empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c != "toxicity"]
-    shared = docs.sparkSession.sparkContext.broadcast((letters, lexicon))  # 27 cubed numbers and at most LEXICON entries
+    kept = [c for c in docs.columns if c.lower() != score_col.lower()]
+    (text,) = fresh([*kept, score_col], "text")
+    shared = docs.sparkSession.sparkContext.broadcast((letters, lexicon))  # 27 cubed numbers, and what SAMPLE rows give
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(*shared.value)
-        for batch in batches:
-            scores = [evidence.score(x or "") for x in batch.column("_scored").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores, pa.float64())], names=[*kept, "toxicity"])
+        for batch in slices(batches):
+            scores = [evidence.score(x or "") for x in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, score_col])
+        del evidence
+        released()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + ", toxicity double"
-    return docs.select(*kept, F.col(text_col).alias("_scored")).mapInArrow(run, schema)
+    picked = docs.select(*map(column, kept), column(text_col).alias(text))
+    schema = T.StructType([*picked.schema.fields[:-1], T.StructField(score_col, T.DoubleType())])
+    return picked.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
@@ -338,7 +351,8 @@ def fold(id_col: str = "doc_id"):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more; every column stays as it is."""
-    return score_texts(docs, *train(docs, labels.filter(~fold()))).filter("toxicity < 0.5").drop("toxicity")
+    (score,) = fresh(docs.columns, "toxicity")
+    return score_texts(docs, *train(docs, labels.filter(~fold())), score_col=score).filter(column(score) < 0.5).drop(score)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,12 +99,8 @@ def test_near_duplicates_across_pivots(spark):
     for i in range(40):
         rows.append((r.randrange(10**6), " ".join(text)))
         text[(3 * i) % 60] = words(r, 1)
-    held = minhash_dedup.BLOCK
-    minhash_dedup.BLOCK = 4
-    try:
-        got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash_dedup.near_duplicates(frame(spark, rows)).collect()}
-    finally:
-        minhash_dedup.BLOCK = held
+    found = minhash_dedup.near_duplicates(frame(spark, rows), block=4)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in found.collect()}
     assert got == near_brute(rows)
 
 
