@@ -21,8 +21,14 @@ def _any_null(values: tuple[Column, ...]) -> Column:
     return out
 
 
+def _booleans(values: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Values that are not booleans count as null. The test is on types, so the plan has it folded away."""
+    return tuple(F.when(F.typeof(v) == "boolean", v.cast("boolean")) for v in values)
+
+
 def any_of(*values: Column) -> Column:
-    """Null if any value is."""
+    """Null if any value is, or is no boolean."""
+    values = _booleans(values)
     out = values[0]
     for v in values[1:]:
         out = out | v
@@ -30,6 +36,8 @@ def any_of(*values: Column) -> Column:
 
 
 def all_of(*values: Column) -> Column:
+    """Null if any value is, or is no boolean."""
+    values = _booleans(values)
     out = values[0]
     for v in values[1:]:
         out = out & v

@@ -7,7 +7,7 @@ first: where it settles the answer the right side may be null, otherwise any nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,17 @@ def elvis(a: Column, b: Column) -> Column:
     return F.coalesce(a, b)
 
 
+def compare(frame: DataFrame, op: str, a: Column, b: Column) -> Column:
+    """A comparison of values whose kinds may differ: int and decimal meet as decimals, any other mix has no answer (null).
+    With a null on either side only equality looks at it; every other test is then false."""
+    left, right = (f.dataType.simpleString().split("(")[0] for f in frame.select(a.alias("a"), b.alias("b")).schema)
+    if left == right or {left, right} == {"int", "decimal"}:
+        return COMPARE[op](a, b)
+    both = a.isNull() & b.isNull()
+    on_null = {"==": both, "!=": ~both}.get(op, F.lit(False))
+    return F.when(a.isNull() | b.isNull(), on_null)
+
+
 COMPARE = {"==": eq, "!=": ne, ">": gt, ">=": ge, "<": lt, "<=": le}
 
 

@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
     """Models of the named tables. Their keys are unique but for labels', whose first match is the smallest quality, then toxic."""
     order = {"labels": ("quality", "toxic")}
-    return Catalog([Model(n, table(spark, sf_dir, t), types, key, order.get(t, ())) for t in names for n, types, key in [TYPES[t]]])
+    return Catalog([Model(n, table(spark, sf_dir, t), types, key, order.get(t, ()), unique=t not in order) for t in names for n, types, key in [TYPES[t]]])
 
 
 def orders_with_items(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:

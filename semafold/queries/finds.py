@@ -76,7 +76,52 @@ def covariant_find(spark: SparkSession, d: str) -> DataFrame:
     return both.inherits("Customer", "Party").inherits("Supplier", "Party").find("Party").frame
 
 
-QUERIES["union_sources"], SQL["union_sources"] = covariant_find, SQL["covariant_find"]
+def _parties(spark: SparkSession, d: str) -> Catalog:
+    """Customers and suppliers as parties; only customers have a segment, and suppliers can be filtered by equality alone."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    customers = Model("Customer", c, {"c_custkey": "PartyKey", "c_acctbal": "Balance", "c_mktsegment": "Segment"})
+    suppliers = Model("Supplier", s, {"s_suppkey": "PartyKey", "s_acctbal": "Balance"}, operators=frozenset({"==", "!="}))
+    return Catalog([customers, suppliers]).inherits("Customer", "Party").inherits("Supplier", "Party")
+
+
+@query('SELECT c_custkey AS "PartyKey", c_acctbal AS "Balance", c_mktsegment AS "Segment" FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier')
+def union_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that a source lacks are null."""
+    return _parties(spark, d).find("Party").frame
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def covariant_where(spark: SparkSession, d: str) -> DataFrame:
+    """Of the subtypes' sources those answer that have the field of the criterion."""
+    return _parties(spark, d).find("Party", where=[("Segment", "!=", "BUILDING")]).frame.select("c_custkey", "c_acctbal")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000")
+def declared_operators(spark: SparkSession, d: str) -> DataFrame:
+    """A source that can't filter by an operator doesn't answer."""
+    return _parties(spark, d).find("Party", where=[("Balance", ">", 9000.0)]).frame.select("c_custkey", "c_acctbal")
+
+
+@query("SELECT n_nationkey AS id, struct_pack(n_nationkey := n_nationkey, n_name := n_name, n_regionkey := n_regionkey) AS nation FROM nation")
+def build_object(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalog(spark, d, "nation").find("Nation")
+    return rows.frame.select(F.col("n_nationkey").alias("id"), rows.build("Nation").alias("nation"))
+
+
+@query("SELECT n_nationkey AS id, NULL::STRUCT(n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER) AS nation FROM nation")
+def closed_type(spark: SparkSession, d: str) -> DataFrame:
+    """A closed type is not built from parts."""
+    rows = catalog(spark, d, "nation").close("Nation").find("Nation")
+    return rows.frame.select(F.col("n_nationkey").alias("id"), rows.build("Nation").alias("nation"))
+
+
+@query("SELECT o_orderkey AS id, c_name AS customer, CAST(NULL AS DOUBLE) AS price FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def project_strict(spark: SparkSession, d: str) -> DataFrame:
+    """Required fields have an answer, or the projection raises; optional ones are null of their kind."""
+    held = catalog(spark, d, "orders", "customer")
+    required = held.find("Order").project({"id": "OrderKey", "customer": "CustomerName"}, strict=True)
+    prices = catalog(spark, d, "part")
+    return required.withColumn("price", prices.null("RetailPrice"))
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
@@ -264,6 +309,17 @@ def policy_mask(spark: SparkSession, d: str) -> DataFrame:
     return policy.mask(table(spark, d, "customer").select("c_custkey", "c_name"), ["c_name"])
 
 
+@query("SELECT c_custkey, '******' AS c_name FROM customer")
+def policy_rule_set(spark: SparkSession, d: str) -> DataFrame:
+    """Of several rule sets the one that fits the operation and where its rows go."""
+    sets = [
+        policy.RuleSet("*", "internal", policy.permit),
+        policy.RuleSet("read", "external", lambda df: policy.mask(df, ["c_name"])),
+        policy.RuleSet("write", "external", policy.filter_all),
+    ]
+    return policy.select(sets, "read", "external").apply(table(spark, d, "customer").select("c_custkey", "c_name"))
+
+
 @query("SELECT * FROM (VALUES ('CustomerBalance'), ('CustomerKey'), ('CustomerName'), ('MarketSegment'), ('NationKey'), ('NationName'), ('OrderDate'), ('OrderKey'), ('OrderPriority'), ('OrderStatus'), ('OrderTotal'), ('RegionKey'), ('RegionName')) t(type)")
 def schema_reachability(spark: SparkSession, d: str) -> DataFrame:
     """Types that lookups lead to from an order key."""

@@ -51,13 +51,47 @@ def join_fallback(spark: SparkSession, d: str) -> DataFrame:
     return found.select(docs["doc_id"], fallback(F.col("quality").cast("string"), F.col("lang")).alias("mark"))
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber, b.l_quantity AS next_quantity FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber")
+FIRST_ITEM = "SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q FROM lineitem GROUP BY ALL"
+
+
+def _next_items(spark: SparkSession, d: str) -> Catalog:
+    """Items, and a lookup of quantities by order and line together."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    quantities = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    lookup_ = Model("Quantities", quantities, {"l_orderkey": "OrderKey", "l_linenumber": "NextLine", "l_quantity": "NextQuantity"}, ("OrderKey", "NextLine"))
+    return Catalog([Model("Item", items, {"l_orderkey": "OrderKey", "l_linenumber": "Line"}), lookup_])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, q AS next_quantity FROM lineitem LEFT JOIN ({FIRST_ITEM}) ON l_orderkey = k AND l_linenumber + 1 = n")
 def join_composite(spark: SparkSession, d: str) -> DataFrame:
-    """A lookup of two parameters."""
-    items = table(spark, d, "lineitem")
-    left = items.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") + 1).alias("next"))
-    right = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("next_quantity"))
-    return lookup(left, right, {"l_orderkey": "k", "next": "n"}).drop("next")
+    """A lookup of two parameters, planned by the catalog; one of them is computed from what is at hand, and the first match answers."""
+    held = _next_items(spark, d).expression("NextLine", ("Line",), lambda line: line + 1)
+    return held.find("Item").project({"l_orderkey": "OrderKey", "l_linenumber": "Line", "next_quantity": "NextQuantity"})
+
+
+@query("SELECT c_custkey AS id, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 1")
+def join_parameter_object(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup whose one parameter is an object, built from facts."""
+    nations = table(spark, d, "nation").select(F.struct(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")).alias("request"), "n_name")
+    held = catalog(spark, d, "customer").add(Model("ByRequest", nations, {"request": "NationRequest", "n_name": "NationName"}, "NationRequest", unique=True))
+    rows = held.find("Customer").given(area=("RegionKey", 1)).request("asked", "NationRequest", {"nation": "NationKey", "region": "RegionKey"})
+    return rows.project({"id": "CustomerKey", "nation": "NationName"})
+
+
+@query("SELECT p_partkey AS id, 'Brand ' || substr(p_brand, 7) AS label FROM part")
+def join_converted_key(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup's parameter has another form than what is at hand: it is converted before the join."""
+    brands = table(spark, d, "part").select(F.expr("substr(p_brand, 7)").alias("code")).distinct().withColumn("label", F.concat(F.lit("Brand "), "code"))
+    held = catalog(spark, d, "part").add(Model("Brands", brands, {"code": "BrandCode", "label": "BrandLabel"}, "BrandCode", unique=True))
+    held.expression("BrandCode", ("PartBrand",), lambda brand: F.substr(brand, F.lit(7)))
+    return held.find("Part").project({"id": "PartKey", "label": "BrandLabel"})
+
+
+@query("SELECT o_orderkey AS id, l_linenumber AS line FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
+def join_explode_children(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each child, on request; an object without children keeps one."""
+    orders = orders_with_items(spark, d).filter("o_orderstatus = 'P'")
+    return orders.select(F.col("o_orderkey").alias("id"), F.explode_outer("items").alias("item")).select("id", F.col("item.l_linenumber").alias("line"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderdate FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")

@@ -48,6 +48,15 @@ def op_or(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d).select("doc_id", logic.or_(b, a).alias("r"), logic.or_(a, b).alias("s"))
 
 
+@query(f"SELECT d.doc_id, coalesce(quality >= 0.5, false) AS whole_and_decimal, CASE WHEN quality IS NULL THEN false END AS whole_and_text, CASE WHEN quality IS NULL THEN false END AS equal FROM {LABELLED}")
+def op_mixed_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers and decimals compare; any other mix has no answer."""
+    rows = labelled(spark, d).withColumn("quality", F.col("quality").cast("int"))
+    quality, half, text = F.col("quality"), F.lit("0.5").cast("decimal(3,1)"), F.lit("x")
+    tests = {"whole_and_decimal": (">=", half), "whole_and_text": (">", text), "equal": ("==", text)}
+    return rows.select("doc_id", *[logic.compare(rows, op, quality, b).alias(k) for k, (op, b) in tests.items()])
+
+
 def _arithmetic(name: str, of, op: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return labelled(spark, d).select("doc_id", of(F.col("n_chars"), F.col("quality").cast("long")).alias("r"))

@@ -51,6 +51,37 @@ def tumbling_batch(spark: SparkSession, d: str) -> DataFrame:
     return held.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), F.size("items").cast("long").alias("n"), F.transform("items", lambda x: x["event_id"]).alias("ids"))
 
 
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events GROUP BY 1
+          HAVING max(time_bucket(INTERVAL 1 HOUR, ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND""")
+def tumbling_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of a stream, as its watermark closes them; the last one is still open when the stream pauses."""
+    held = streams.tumbling(_events(spark, d), "ts", "1 hour", ["event_id"])
+    return streams.run_to_end(held.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), F.size("items").cast("long").alias("n")))
+
+
+@query("SELECT event_id, true AS stamped FROM events")
+def stream_stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the time they came in."""
+    before = datetime.now(timezone.utc)
+    held = streams.run_to_end(streams.stamped(_events(spark, d).select("event_id")))
+    return held.select("event_id", (F.col("ingested_at") >= F.lit(before)).alias("stamped"))
+
+
+@query("SELECT run, count(*) AS n FROM orders, (VALUES (0), (1)) t(run) WHERE o_orderkey % 2 = run GROUP BY run")
+def poll_query(spark: SparkSession, d: str) -> DataFrame:
+    """A query that is polled, each answer written as a part of its own."""
+    path = readers.scratch(spark, "polled")
+    ask = lambda run: table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == run)
+    streams.poll(ask, lambda rows, run: rows.agg(F.lit(run).alias("run"), F.count("*").alias("n")).write.parquet(f"{path}/part={run}"), times=2)
+    return spark.read.parquet(path).select("run", "n")
+
+
+@query("SELECT r_regionkey, r_name, 'got ' || r_name AS answer FROM region")
+def operation_sink(spark: SparkSession, d: str) -> DataFrame:
+    """An operation that is called with each record."""
+    return sinks.invoke(table(spark, d, "region").select("r_regionkey", "r_name"), lambda row: f"got {row['r_name']}")
+
+
 @query("SELECT event_id, upper(event_type) AS kind, round(value * 100) AS cents FROM events WHERE value IS NOT NULL")
 def pipeline_transform(spark: SparkSession, d: str) -> DataFrame:
     """Validate, then transform each record."""

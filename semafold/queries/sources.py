@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semafold.functions import coerce
-from semafold.plans.tables import table
+from semafold.plans.catalog import Catalog, Model
+from semafold.plans.tables import catalog, table
 from semafold.queries import registered
 from semafold.sources import readers, sinks
 
@@ -82,6 +85,48 @@ def xml_parse(spark: SparkSession, d: str) -> DataFrame:
     return _xml(spark, d).select("n_nationkey", readers.xml_document(F.col("xml"), "name string, region int").alias("r")).select("n_nationkey", "r.name", "r.region")
 
 
+@query("""SELECT n_nationkey, '<nation id="' || n_nationkey || '"><name>' || n_name || '</name></nation>' AS xml FROM nation""")
+def xml_write(spark: SparkSession, d: str) -> DataFrame:
+    row = F.struct(F.col("n_nationkey").alias("_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("note"))
+    return table(spark, d, "nation").select("n_nationkey", readers.to_xml(row, "nation").alias("xml"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def format_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Formats as models declare them, or their supertypes do."""
+    held = catalog(spark, d).declare_format("Area", "json").declare_format("Region", "csv").inherits("Nation", "Area").inherits("Region", "Area")
+    frames = []
+    for type_, name in (("Nation", "nation"), ("Region", "region")):
+        path, rows = readers.scratch(spark, name), table(spark, d, name)
+        key, label = rows.columns[:2]
+        rows = rows.select(F.col(key).cast("long").alias("n_nationkey"), F.col(label).alias("n_name"))
+        rows.write.format(held.format_of(type_)).options(header=True).save(path)
+        frames.append(readers.read_as(spark, path, held.format_of(type_), "n_nationkey long, n_name string"))
+    return frames[0].union(frames[1])
+
+
+def _database(spark: SparkSession, d: str, name: str) -> str:
+    """An embedded database that lives in this process, with a table of customers."""
+    url = f"jdbc:derby:memory:{name}-{uuid.uuid4().hex};create=true"
+    sinks.write_jdbc(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), url, "customers", properties=DERBY)
+    return url
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
+def jdbc_select(spark: SparkSession, d: str) -> DataFrame:
+    """A database table by type and criteria; the filter runs in the database. The rows are written there first."""
+    held = Catalog([Model("Customer", readers.read_jdbc(spark, _database(spark, d, "read"), "customers", DERBY), {"c_custkey": "CustomerKey", "c_name": "CustomerName", "c_acctbal": "CustomerBalance"})])
+    return held.find("Customer").where("CustomerBalance", ">", 5000.0).frame.select("c_custkey", "c_name")
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_acctbal', 'double')) t(name, kind)")
+def jdbc_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return readers.jdbc_columns(spark, _database(spark, d, "columns"), "customers", DERBY).withColumn("name", F.lower("name"))
+
+
 @query("SELECT n_nationkey, n_name AS name FROM nation")
 def xpath_extract(spark: SparkSession, d: str) -> DataFrame:
     return _xml(spark, d).select("n_nationkey", readers.xpath(F.col("xml"), "/nation/name").alias("name"))

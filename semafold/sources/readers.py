@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares (spark.checkpoint.dir), or in one of our own where that is unset."""
+    """A new path in the folder the cluster shares (spark.checkpoint.dir). Where that is unset, a local session (tests) gets one
+    of its own; on a cluster each executor would write to its own disk, so there it is an error."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semafold-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="semafold-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return f"{held.get()}/{name}-{uuid.uuid4().hex}"
 
@@ -29,12 +33,21 @@ def read_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFram
 
 
 def read_csv_after(spark: SparkSession, path: str, marker: str, schema: str, **options) -> DataFrame:
-    """As read_csv, for files whose content starts at the line that begins with marker (one file is one task)."""
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.regexp_extract("value", f"(?s)({marker}.*)$", 1), r"\r?\n")).alias("value"))
-    body = lines.filter(~F.col("value").startswith(marker) & (F.col("value") != ""))
+    """As read_csv, for files whose content starts at the line that begins with marker. A large file is read by many tasks: each
+    line knows its block's place in the file and its own order in the block, and one aggregate finds each file's first marker."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    marks = lines.filter(F.col("value").startswith(marker)).groupBy("file").agg(F.min("place").alias("mark"))
+    body = lines.join(marks, "file").filter((F.col("place") > F.col("mark")) & (F.rtrim("value") != "") & ~F.col("value").startswith(marker))
     return body.select(F.from_csv("value", schema, {"sep": options.get("delimiter", ",")}).alias("r")).select("r.*")
 
 
+def read_as(spark: SparkSession, path: str, format_: str, schema: str) -> DataFrame:
+    """Files of a declared format (see Catalog.format_of) under a declared schema."""
+    reader = spark.read.schema(schema)
+    return reader.options(**csv_options()).csv(path) if format_ == "csv" else reader.option("rowTag", "row").xml(path) if format_ == "xml" else reader.format(format_).load(path)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
@@ -47,6 +60,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
     return spark.read.jdbc(url, table, properties=properties or {})
 
 
+def jdbc_columns(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> DataFrame:
+    """A database table's columns and kinds, as Spark's dialect for the database has them; no row is read."""
+    return spark.createDataFrame([(c, k) for c, k in read_jdbc(spark, url, table, properties).dtypes], "name string, kind string")
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str, offset: str = "latest", schema: str | None = None) -> DataFrame:
     """A stream of a topic's messages, as JSON of a declared schema if one is given. Needs Spark's Kafka package."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", offset).load()
@@ -76,6 +94,11 @@ def xml_document(text: Column, schema: str) -> Column:
     return F.from_xml(text, schema)
 
 
+def to_xml(row: Column, tag: str = "row") -> Column:
+    """An object as an XML element; names that begin with _ become attributes, nulls are left out."""
+    return F.regexp_replace(F.to_xml(row, {"rowTag": tag}), r">\s+<", "><")
+
+
 def xpath(text: Column, path: str) -> Column:
     return F.xpath_string(text, F.lit(path))
 

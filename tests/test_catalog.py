@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from semafold.operators import policy
 from semafold.operators.joins import lookup, lookup_each
-from semafold.plans.catalog import Catalog, Model
+from semafold.plans.catalog import Catalog, Model, Unanswered
 from semafold.sources import sinks
 
 
@@ -13,9 +13,9 @@ def films(spark):
     directors = spark.createDataFrame([(7, "Dee", 70)], "id int, name string, country int")
     countries = spark.createDataFrame([(70, "NZ")], "id int, name string")
     return Catalog([
-        Model("Film", films, {"id": "FilmId", "title": "Title", "director": "DirectorId"}, "FilmId"),
-        Model("Director", directors, {"id": "DirectorId", "name": "DirectorName", "country": "CountryId"}, "DirectorId"),
-        Model("Country", countries, {"id": "CountryId", "name": "CountryName"}, "CountryId"),
+        Model("Film", films, {"id": "FilmId", "title": "Title", "director": "DirectorId"}, "FilmId", unique=True),
+        Model("Director", directors, {"id": "DirectorId", "name": "DirectorName", "country": "CountryId"}, "DirectorId", unique=True),
+        Model("Country", countries, {"id": "CountryId", "name": "CountryName"}, "CountryId", unique=True),
     ])
 
 
@@ -49,6 +49,61 @@ def test_subtypes_and_ambiguity(spark):
     assert pair.find("P").project({"n": "N"}).first().n is None
 
 
+def test_strict_projections_raise(films):
+    rows = films.find("Film")
+    assert rows.project({"t": "Title", "c": "CountryName"}, strict=True).count() == 3
+    with pytest.raises(Unanswered):
+        rows.project({"t": "Title", "x": "Titel"}, strict=True)
+    twice = Catalog([Model("P", rows.frame, {"id": "N", "director": "N"})]).find("P")
+    with pytest.raises(Unanswered):
+        twice.project({"n": "N"}, strict=True)
+    assert twice.project({"n": "N"}).dtypes == [("n", "int")]  # null of the type's kind
+
+
+def test_an_ambiguous_key_is_no_key(spark, films):
+    two = spark.createDataFrame([(7, 8)], "main int, second int")
+    rows = films.add(Model("Pair", two, {"main": "DirectorId", "second": "DirectorId"})).find("Pair")
+    assert rows.project({"n": "DirectorName"}).first().n is None
+
+
+def test_rows_stay_where_a_key_repeats(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
+    c = Catalog([Model("L", left, {"k": "K"}), Model("R", right, {"k": "K", "v": "V"}, "K")])
+    assert sorted(map(tuple, c.find("L").project({"k": "K", "v": "V"}).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_sources_that_can_answer(spark):
+    a = spark.createDataFrame([(1, "x", 5), (2, "y", 6)], "i int, n string, s int")
+    b = spark.createDataFrame([(3, "x")], "k int, m string")
+    c = Catalog([Model("A", a, {"i": "Id", "n": "Name", "s": "Size"}), Model("B", b, {"k": "Id", "m": "Name"}, operators=frozenset({"=="}))]).inherits("A", "P").inherits("B", "P")
+    assert sorted(map(tuple, c.find("P").frame.select("Id", "Size").collect())) == [(1, 5), (2, 6), (3, None)]
+    assert sorted(r.Id for r in c.find("P", where=[("Name", "==", "x")]).frame.collect()) == [1, 3]
+    assert [r.i for r in c.find("P", where=[("Size", ">", 5)]).frame.collect()] == [2]  # B has no size
+    assert [r.i for r in c.find("P", where=[("Name", "!=", "x")]).frame.collect()] == [2]  # B can't filter by !=
+    with pytest.raises(KeyError):
+        c.find("B", where=[("Name", "!=", "x")])
+
+
+def test_composite_and_computed_keys(spark):
+    left = spark.createDataFrame([(1, 1, "10"), (1, 2, "20"), (2, 1, "x")], "o int, l int, code string")
+    right = spark.createDataFrame([(1, 2, "b"), (2, 1, "c")], "o int, l int, v string")
+    codes = spark.createDataFrame([(10, "ten")], "n int, w string")
+    c = Catalog([Model("L", left, {"o": "Order", "l": "Line", "code": "Code"}), Model("R", right, {"o": "Order", "l": "Line", "v": "V"}, ("Order", "Line")), Model("W", codes, {"n": "Number", "w": "Word"}, "Number")])
+    c.expression("Number", ("Code",), lambda x: x.try_cast("int"))
+    got = c.find("L").project({"o": "Order", "l": "Line", "v": "V", "w": "Word"}).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 1, None, "ten"), (1, 2, "b", None), (2, 1, "c", None)]
+    assert Catalog(c.models[1:]).add(Model("O", left, {"o": "Order"})).find("O").project({"v": "V"}).first().v is None  # one of two keys
+
+
+def test_closed_types_and_formats(spark, films):
+    rows = films.find("Film")
+    assert rows.frame.select(rows.build("Film").alias("x")).first().x.title == "A"
+    films.close("Film").declare_format("Base", "csv").inherits("Film", "Base")
+    assert rows.frame.select(rows.build("Film").alias("x")).first().x is None
+    assert films.format_of("Film") == "csv" and films.format_of("Country") is None
+
+
 def test_first_match_and_arrays(spark):
     left = spark.createDataFrame([(1, [2, 9, 1]), (2, [])], "k int, ids array<int>")
     right = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 1)], "k int, v string, o int")
