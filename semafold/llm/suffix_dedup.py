@@ -4,7 +4,7 @@ A byte goes if a string of MATCH bytes over it also starts in a document with a
 string only if they share its minimizer: the least hash among the KGRAM-byte strings in it. So:
 
 1. Each bucket of documents (dealt by id and text, a few MB) cuts its texts into stretches of windows with one minimizer,
-   and sends 4 bytes for each distinct minimizer. Those that one document alone has can't match and are done with.
+   and sends 6 bytes for each distinct minimizer. Those that one document alone has can't match and are done with.
 2. For the others it sends each distinct stretch as 128 bits with its smallest document. Stretches of equal content are one
    string with one first occurrence; the later ones repeat it from end to end.
 3. The first occurrences, once in the whole corpus each, send their text to the part of their minimizer. A suffix array over
@@ -14,27 +14,27 @@ string only if they share its minimizer: the least hash among the KGRAM-byte str
    dealt on by whole windows, so that no part holds all of them.
 4. Each bucket puts the verdicts together and cuts the texts.
 
-The text is shuffled once, to the buckets; what else moves is 4 bytes a minimizer, 128 bits a stretch in doubt, and the
-text of first occurrences. Texts under MATCH bytes and rows without an id can't match and are not moved at all.
+The text is shuffled once, to the buckets; what else moves is 6 bytes a minimizer, 128 bits a stretch in doubt, and the
+text of first occurrences, all by way of exchange.py. Texts under MATCH bytes and rows without an id can't match and are not moved at all.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from semafold.llm.common import dealt, releasing
+from semafold.llm.common import column, dealt, releasing
+from semafold.llm.exchange import FAN, KEY, ROWS, Exchange, Records
 from semafold.llm.shingles import mix, powers
 
 MATCH, KGRAM = 50, 20
 #: Text of a bucket, which a task holds at a time (a longer document is a bucket's load of its own), and of a part.
-BUCKET_BYTES, PART_BYTES = 12 << 20, 5 << 20
+BUCKET_BYTES, PART_BYTES = 6 << 20, 3 << 20
 #: First occurrences with one minimizer that a part takes whole.
 HOT = 4096
 _SPAN = MATCH - KGRAM + 1
@@ -97,7 +97,7 @@ class Bucket:
         starts, keep, small = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
         counts = np.diff(np.concatenate((starts, [max(windows, 0)])))
         keep = keep.astype(bool)
-        self.starts, self.counts, self.small = starts[keep], counts[keep], small[keep].astype(np.uint64)
+        self.starts, self.counts, self.small = starts[keep], counts[keep], small[keep].astype(np.uint64) & KEY
         self.doc = self.ids[np.searchsorted(self.bounds, self.starts, "right") - 1]
 
     def hashes(self, starts: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -114,18 +114,18 @@ class Bucket:
                 out[i:j] = mix((sums[begin + length] - sums[begin]) * inverse[begin] + length.astype(np.uint64))
         return out
 
-    def minimizers(self, parts: int) -> Dealt:
-        """The distinct minimizers, dealt to parts; own: those that two documents of this bucket have."""
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct minimizers in ascending order, and which of them two documents of this bucket have."""
         order = np.argsort(self.small, kind="stable")
         small, doc = self.small[order], self.doc[order]
         begin = np.flatnonzero(np.concatenate(([True], small[1:] != small[:-1]))) if len(small) else np.zeros(0, np.int64)
         several = np.maximum.reduceat(doc, begin) > np.minimum.reduceat(doc, begin) if len(begin) else np.zeros(0, bool)
-        return Dealt(small[begin], parts, several)
+        return small[begin], several
 
-    def doubted(self, held: Dealt, doubt: np.ndarray) -> None:
-        """Keep the stretches whose minimizer is in doubt. first: representatives, the first of each distinct stretch, so of its
+    def doubted(self, keys: np.ndarray, doubt: np.ndarray) -> None:
+        """Keep the stretches whose minimizer (of keys) is in doubt. first: representatives, the first of each distinct stretch, so of its
         smallest document here; which: each stretch's representative; content: the representatives' 128 bits."""
-        keep = doubt[np.searchsorted(held.keys, self.small)]
+        keep = doubt[np.searchsorted(keys, self.small)]
         self.starts, self.counts, self.small, self.doc = self.starts[keep], self.counts[keep], self.small[keep], self.doc[keep]
         one, two = (self.hashes(self.starts, self.counts + (MATCH - 1), b) for b in _BASES)
         order = np.lexsort((two, one))  # stable: the first of equal ones is the smallest document's
@@ -137,27 +137,6 @@ class Bucket:
         self.content = np.stack([one[self.first], two[self.first]], axis=1)
 
 
-class Dealt:
-    """Distinct keys in ascending order, and for each part the places of its keys."""
-
-    def __init__(self, keys: np.ndarray, parts: int, own: np.ndarray | None = None):
-        self.keys, self.own = keys, own
-        self.of = dealt(part_of(keys, parts))
-
-
-def part_of(small: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each minimizer; the other half of its bits tells it from others there."""
-    return ((small >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-
-
-def id_blob(docs: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(docs, prepend=0).astype("<i8").tobytes(), 1)
-
-
-def read_ids(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<i8"))
-
-
 def _nearest_smaller(docs: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """For each suffix the length it shares with the nearest one before it that has a smaller document, 0 if there is none.
 
@@ -193,159 +172,142 @@ def longest_previous_factors(text: np.ndarray, starts: np.ndarray, docs: np.ndar
     return out
 
 
-def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())})
-
-
 def _number(table: pa.Table) -> int:
     return table.column("bucket")[0].as_py() if len(table) else 0
 
 
-def _minimizers(parts: int):
-    """1. To each part the distinct minimizers of a bucket, as 32 of their bits."""
+def _bytes_of(*columns: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize * c.size // max(len(c), 1)) for c in columns], axis=1)
+
+
+def _minimizers(exchange: Exchange):
+    """1. To each part the distinct minimizers of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = Bucket(table)
         bucket.cut()
-        held = bucket.minimizers(parts)
-        rows = [(p, _number(table), held.keys[at].astype("<u4").tobytes()) for p, at in held.of.items()]
-        return _table(rows, part=pa.int64(), bucket=pa.int64(), keys=pa.binary())
+        return exchange.rows(_number(table), bucket.minimizers()[0])
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """A bit for each minimizer: whether another bucket has it too."""
-    blobs = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-    _, which, counts = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-    bits = np.split(counts[which] > 1, np.cumsum([len(x) for x in blobs])[:-1])
-    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
+def _shared(keys: np.ndarray, _: Records) -> tuple[np.ndarray]:
+    """Whether another bucket has a minimizer too."""
+    _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    return (counts[which] > 1,)
+
+
+def _told(table: pa.Table, step: int) -> list[tuple[int, bytes]]:
+    """(group, answers) of a step."""
+    rows = zip(*[table.column(c).to_pylist() for c in ("step", "part", "answers")], strict=True)
+    return [(part, answers) for s, part, answers in rows if s == step]
 
 
-def _in_doubt(left: pa.Table, right: pa.Table, parts: int) -> Bucket:
+def _in_doubt(left: pa.Table, right: pa.Table, exchange: Exchange) -> Bucket:
     bucket = Bucket(left)
     bucket.cut()
-    held = bucket.minimizers(parts)
-    doubt = held.own.copy()
-    for p, bits in zip(right.column("part").to_pylist(), right.column("bits").to_pylist(), strict=True):
-        doubt[held.of[p]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(held.of[p])).astype(bool)
-    bucket.doubted(held, doubt)
+    keys, doubt = bucket.minimizers()
+    places = exchange.group_of(keys)
+    for group, answers in _told(right, 1):
+        doubt[places[group]] |= np.frombuffer(answers, np.uint8) > 0
+    bucket.doubted(keys, doubt)
     return bucket
 
 
-def _stretches(parts: int):
-    """2. To each part the distinct stretches in doubt, by document; the bits that say which they are go on to step 3."""
+def _stretches(exchange: Exchange):
+    """2. To each part the distinct stretches in doubt, by document."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if len(left) and len(right):
-            bucket = _in_doubt(left, right, parts)
-            for p, at in dealt(part_of(bucket.small[bucket.first], parts)).items():
-                reps = bucket.first[at]
-                rows.append((p, _number(left), bucket.small[reps].astype("<u4").tobytes(), bucket.content[at].tobytes(), id_blob(bucket.doc[reps])))
-        return _table(rows, part=pa.int64(), bucket=pa.int64(), keys=pa.binary(), content=pa.binary(), ids=pa.binary())
+        if not len(left) or not len(right):
+            return exchange.rows(0, np.zeros(0, np.uint64))
+        bucket = _in_doubt(left, right, exchange)
+        return exchange.rows(_number(left), bucket.small[bucket.first], Records(_bytes_of(bucket.content, bucket.doc[bucket.first])))
 
     return run
 
 
-def _verdicts(table: pa.Table, hot: int = HOT) -> pa.Table:
+def _verdicts(hot: int):
     """Of each stretch: 1 if a smaller document has it too; 2 if it is the first of its content but its minimizer has other
     contents as well, 3 if it has more than `hot` of them; else 0."""
-    blobs = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
-    small, doc = np.concatenate(blobs), np.concatenate([read_ids(x) for x in table.column("ids").to_pylist()])
-    one, two = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("content").to_pylist()]).T
-    order = np.lexsort((doc, two, one, small))
-    s, a, b, d = small[order], one[order], two[order], doc[order]
-    edge = np.concatenate(([True], s[1:] != s[:-1]))
-    new = edge | np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-    begin = np.flatnonzero(edge)
-    sizes = np.diff(np.append(begin, len(s)))
-    contents = np.repeat(np.add.reduceat(new.astype(np.int64), begin), sizes)
-    differ = np.repeat(np.maximum.reduceat(d, begin) > np.minimum.reduceat(d, begin), sizes)
-    verdict = np.empty(len(s), np.uint8)
-    verdict[order] = np.where(d > d[head], 1, np.where((contents > 1) & differ, np.where(contents > hot, 3, 2), 0))
-    out = np.split(verdict, np.cumsum([len(x) for x in blobs])[:-1])
-    return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "bits": pa.nulls(len(out), pa.binary()), "verdicts": pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())})
-
-
-def _texts(parts: int):
-    """3. Spans that are settled (no text), and the first occurrences in doubt with their places, to each part."""
+
+    def reply(small: np.ndarray, records: Records) -> tuple[np.ndarray]:
+        one, two, doc = np.ascontiguousarray(records.fixed).view(np.int64).T
+        order = np.lexsort((doc, two, one, small))
+        s, a, b, d = small[order], one[order], two[order], doc[order]
+        edge = np.concatenate(([True], s[1:] != s[:-1]))
+        new = edge | np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+        begin = np.flatnonzero(edge)
+        sizes = np.diff(np.append(begin, len(s)))
+        contents = np.repeat(np.add.reduceat(new.astype(np.int64), begin), sizes)
+        differ = np.repeat(np.maximum.reduceat(d, begin) > np.minimum.reduceat(d, begin), sizes)
+        verdict = np.empty(len(s), np.uint8)
+        verdict[order] = np.where(d > d[head], 1, np.where((contents > 1) & differ, np.where(contents > hot, 3, 2), 0))
+        return (verdict,)
+
+    return reply
+
+
+def _texts(exchange: Exchange):
+    """3. To each part the first occurrences in doubt. Their places, and the spans that are settled, are for the last step."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        said = [x is not None for x in right.column("verdicts").to_pylist()]
-        if len(left) and any(said):
-            number = _number(left)
-            bucket = _in_doubt(left, right.filter(pa.array([not x for x in said])), parts)
-            first, verdict = bucket.first, np.zeros(len(bucket.first), np.uint8)
-            own = dealt(part_of(bucket.small[first], parts))
-            told = right.filter(pa.array(said))
-            for p, blob in zip(told.column("part").to_pylist(), told.column("verdicts").to_pylist(), strict=True):
-                verdict[own[p]] = np.frombuffer(zlib.decompress(blob), np.uint8)
-            of = verdict[bucket.which]
-            gone = (bucket.doc > bucket.doc[first][bucket.which]) | (of == 1)
-            settled = np.stack([bucket.starts[gone], bucket.counts[gone]], axis=1).astype("<i4")
-            rows.append((number % parts, number, b"", b"", b"", zlib.compress(settled.tobytes(), 1)))
-            places = np.flatnonzero(~gone & (of >= 2))  # all places of a stretch in doubt, in its own document
-            places = places[np.argsort(bucket.which[places], kind="stable")]
-            rep = bucket.which[places]
-            hot = verdict[rep] == 3
-            at, part = bucket.starts[places], part_of(bucket.small[places], parts)
-            record = np.stack([part[~hot], rep[~hot], np.zeros((~hot).sum(), np.int64), bucket.counts[places][~hot], at[~hot]], axis=1)
-            if hot.any():  # a record for each window, dealt by all its bytes
-                counts = bucket.counts[places][hot]
-                offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = np.repeat(at[hot], counts) + offset
-                order = np.argsort(start, kind="stable")
-                key = np.empty(len(start), np.uint64)
-                key[order] = bucket.hashes(start[order], np.full(len(start), MATCH), _BASES[0])
-                each = np.stack([(key % np.uint64(parts)).astype(np.int64), np.repeat(rep[hot], counts), offset, np.ones(len(start), np.int64), start], axis=1)
-                record = np.concatenate((record, each))
-            record = record[np.lexsort((record[:, 2], record[:, 1], record[:, 0]))]
-            for run_ in np.split(record, np.flatnonzero(np.diff(record[:, 0])) + 1) if len(record) else []:
-                new = np.concatenate(([True], (np.diff(run_[:, 1]) != 0) | (np.diff(run_[:, 2]) != 0)))
-                owner, head = np.cumsum(new) - 1, run_[new]
-                begin, count = head[:, 4], head[:, 3]
-                text = b"".join([bucket.text[x : x + y + MATCH - 1].tobytes() for x, y in zip(begin.tolist(), count.tolist(), strict=True)])
-                body = struct.pack("<ii", len(head), len(run_)) + count.astype("u1").tobytes() + np.stack([run_[:, 4], owner], axis=1).astype("<i4").tobytes()
-                rows.append((int(run_[0, 0]), number, id_blob(bucket.doc[first[head[:, 1]]]), body, zlib.compress(text, 1), b""))
-        return _table(rows, part=pa.int64(), bucket=pa.int64(), ids=pa.binary(), places=pa.binary(), text=pa.binary(), settled=pa.binary())
+        told = _told(right, 2) if len(right) else []
+        if not len(left) or not told:
+            return exchange.rows(0, np.zeros(0, np.uint64)).append_column("extra", pa.array([], pa.binary()))
+        bucket = _in_doubt(left, right, exchange)
+        first, verdict = bucket.first, np.zeros(len(bucket.first), np.uint8)
+        own = exchange.group_of(bucket.small[first])
+        for group, answers in told:
+            verdict[own[group]] = np.frombuffer(answers, np.uint8)
+        of = verdict[bucket.which]
+        gone = (bucket.doc > bucket.doc[first][bucket.which]) | (of == 1)
+        settled = np.stack([bucket.starts[gone], bucket.counts[gone]], axis=1)
+        places = np.flatnonzero(~gone & (of >= 2))  # all places of a stretch in doubt, in its own document
+        at, rep, counts, hot = bucket.starts[places], bucket.which[places], bucket.counts[places], of[places] == 3
+        key, offset = bucket.small[places], np.zeros(len(places), np.int64)
+        if hot.any():  # a record for each window, dealt by all its bytes
+            n = counts[hot]
+            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(at[hot], n) + each
+            hashed, order = np.empty(len(start), np.uint64), np.argsort(start, kind="stable")
+            hashed[order] = bucket.hashes(start[order], np.full(len(start), MATCH), _BASES[0]) & KEY
+            add = lambda old, new: np.concatenate((old[~hot], new))
+            at, rep, counts, key, offset = add(at, start), add(rep, np.repeat(rep[hot], n)), add(counts, np.ones(len(start), np.int64)), add(key, hashed), add(offset, each)
+        order = np.lexsort((offset, rep))
+        at, rep, counts, key, offset = at[order], rep[order], counts[order], key[order], offset[order]
+        new = np.concatenate(([True], (np.diff(rep) != 0) | (np.diff(offset) != 0))) if len(at) else np.zeros(0, bool)
+        owner, sizes = np.cumsum(new) - 1, counts[new] + (MATCH - 1)
+        texts = bucket.text[np.repeat(at[new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        rows = exchange.rows(_number(left), key[new], Records(_bytes_of(bucket.doc[first[rep[new]]]), texts, sizes))
+        local, group = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        for g, x in exchange.group_of(key[new]).items():
+            local[x], group[x] = np.arange(len(x)), g
+        of_group = dealt(group[owner])
+        extra = [_blob(np.stack([at[of_group[g]], local[owner[of_group[g]]]], axis=1)) for g in rows.column("part").to_pylist()]
+        rows = rows.append_column("extra", pa.array(extra, pa.binary()))
+        none = Records(np.zeros((0, 8), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64)).pack()
+        number = _number(left)
+        last = {"part": [number % exchange.groups], "bucket": [number], "keys": [b""], "records": [none], "extra": [_blob(settled)]}
+        return pa.concat_tables([rows, pa.table(last, schema=rows.schema)])
 
     return run
 
 
-def _factors(table: pa.Table) -> pa.Table:
-    """For each bucket, (first window, bits of covered windows) of its stretches in doubt; settled spans pass through."""
-    out, texts, starts, docs, kept = [], [], [], [], []
-    base = 0
-    for b, ids, places, text, settled in zip(*[table.column(x).to_pylist() for x in ("bucket", "ids", "places", "text", "settled")], strict=True):
-        if settled:
-            out.append((b, settled, b""))
-            continue
-        n, m = struct.unpack_from("<ii", places)
-        counts = np.frombuffer(places, "u1", n, 8).astype(np.int64)
-        lengths = counts + MATCH - 1
-        begin = base + np.cumsum(lengths) - lengths
-        data = np.frombuffer(zlib.decompress(text), np.uint8)
-        base += len(data)
-        texts.append(data)
-        starts.append(np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum()))
-        docs.append(np.repeat(read_ids(ids), counts))
-        kept.append((b, counts, np.frombuffer(places, "<i4", 2 * m, 8 + n).reshape(m, 2)))
-    if texts:
-        covered = longest_previous_factors(np.concatenate(texts), np.concatenate(starts), np.concatenate(docs)) >= MATCH
-        at = 0
-        for b, counts, places in kept:
-            own = covered[at : at + counts.sum()]
-            at += len(own)
-            row, column = np.repeat(np.arange(len(counts)), counts), np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-            bits = np.zeros(len(counts), np.uint32)
-            np.bitwise_or.at(bits, row[own], (np.uint32(1) << column[own].astype(np.uint32)))
-            mask = bits[places[:, 1]]
-            hit = mask > 0
-            out.append((b, b"", zlib.compress(places[hit, 0].astype("<u4").tobytes() + mask[hit].astype("<u4").tobytes(), 1)))
-    return _table(out, bucket=pa.int64(), settled=pa.binary(), masks=pa.binary())
+def _blob(pairs: np.ndarray) -> bytes:
+    return zlib.compress(pairs.astype("<i4").tobytes(), 1)
+
+
+def _factors(_: np.ndarray, records: Records) -> tuple[np.ndarray]:
+    """Of each record a bit for each window that is covered."""
+    counts = records.sizes - (MATCH - 1)
+    if not len(counts):
+        return (np.zeros(0, "<u4"),)
+    begin = np.cumsum(records.sizes) - records.sizes
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    docs = np.ascontiguousarray(records.fixed).view(np.int64).ravel()
+    covered = longest_previous_factors(records.text, np.repeat(begin, counts) + place, np.repeat(docs, counts)) >= MATCH
+    return (np.bitwise_or.reduceat(np.where(covered, np.uint32(1) << place.astype(np.uint32), np.uint32(0)), np.cumsum(counts) - counts),)
 
 
 def _last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -356,14 +318,14 @@ def _last_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         np.add.at(change, starts, 1)
         np.add.at(change, starts + counts + (MATCH - 1), -1)
 
-    for settled, masks in zip(right.column("settled").to_pylist(), right.column("masks").to_pylist(), strict=True):
-        if settled:
-            found = np.frombuffer(zlib.decompress(settled), "<i4").reshape(-1, 2).astype(np.int64)
-            cover(found[:, 0], found[:, 1])
-        if masks:
-            start, mask = np.frombuffer(zlib.decompress(masks), "<u4").reshape(2, -1).astype(np.int64)
-            for i in range(_SPAN):
-                cover(start[(mask >> i) & 1 == 1] + i, 1)
+    for answers, extra in zip(right.column("answers").to_pylist(), right.column("extra").to_pylist(), strict=True):
+        pairs = np.frombuffer(zlib.decompress(extra), "<i4").reshape(-1, 2).astype(np.int64)
+        if not answers:  # settled: windows and how many
+            cover(pairs[:, 0], pairs[:, 1])
+            continue
+        start, mask = pairs[:, 0], np.frombuffer(answers, "<u4")[pairs[:, 1]]
+        for i in range(_SPAN):
+            cover(start[(mask >> np.uint32(i)) & 1 == 1] + i, 1)
     gone = np.cumsum(change)[: len(bucket.text)] > 0
     kept, spans, sizes = [], [], []
     for a, b in zip(bucket.bounds[:-1].tolist(), bucket.bounds[1:].tolist(), strict=True):
@@ -383,30 +345,28 @@ def _idle(id_col: str, text_col: str) -> Column:
     return F.col(id_col).isNull() | F.col(text_col).isNull() | (F.octet_length(text_col) < MATCH)
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str, hot: int = HOT) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str | T.StructType, hot: int = HOT, fan: int = FAN) -> DataFrame:
     docs = docs.filter(~_idle(id_col, text_col))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
+    one, two, three = Exchange(parts, fan=fan), Exchange(parts, 24, fan=fan), Exchange(parts, 8, True, fan, ("<u4",))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets))  # an id with many texts has them in many buckets
     given = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more).groupBy("bucket")
-    sent = given.applyInArrow(releasing(_minimizers(parts)), "part long, bucket long, keys binary")
-    bits = sent.groupBy("part").applyInArrow(_shared, "bucket long, part long, bits binary")
-    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(releasing(_stretches(parts)), "part long, bucket long, keys binary, content binary, ids binary")
-    verdicts = stretches.groupBy("part").applyInArrow(releasing(lambda table: _verdicts(table, hot)), "bucket long, part long, bits binary, verdicts binary")
-    told = bits.withColumn("verdicts", F.lit(None).cast("binary")).union(verdicts)
-    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(releasing(_texts(parts)), "part long, bucket long, ids binary, places binary, text binary, settled binary")
-    factors = doubt.groupBy("part").applyInArrow(releasing(_factors), "bucket long, settled binary, masks binary")
-    return given.cogroup(factors.groupBy("bucket")).applyInArrow(releasing(_last_pass), schema)
+    bits = one.answered(given.applyInArrow(releasing(_minimizers(one)), ROWS), _shared).withColumn("step", F.lit(1))
+    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(releasing(_stretches(two)), ROWS)
+    told = bits.union(two.answered(stretches, _verdicts(hot)).withColumn("step", F.lit(2)))
+    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(releasing(_texts(three)), ROWS + ", extra binary")
+    return given.cogroup(three.answered(doubt, _factors).groupBy("bucket")).applyInArrow(releasing(_last_pass), schema)
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """id, n_bytes, spans (start, end, start, end, ...: maximal removed runs of bytes) and kept (the bytes that are left).
 
     Null and empty texts have no bytes. Documents with one id are neither smaller nor larger than each other, so equal
     rows keep their texts; a null id takes no part and keeps its text. Rows that repeat id and text meet in one bucket.
     Other columns are not read; an empty table gives an empty result. kept may end inside a UTF-8 character, as matches are of bytes.
     """
-    done = _run(docs, id_col, text_col, bucket_bytes, [], "id long, n_bytes long, spans array<long>, kept binary", hot)
+    done = _run(docs, id_col, text_col, bucket_bytes, [], "id long, n_bytes long, spans array<long>, kept binary", hot, fan)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     idle = docs.filter(_idle(id_col, text_col)).select(F.col(id_col).cast("long"), F.octet_length(data).cast("long"), F.array().cast("array<long>"), data)
     return done.union(idle).withColumnRenamed("id", id_col)
@@ -416,9 +376,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with repeated passages taken out of the text, every other column as it is; characters that a cut breaks go too.
     A text with nothing left stays as an empty one; a null text stays null. The text is moved once, with its row."""
     others = [c for c in docs.columns if c != text_col]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others])
-    kind = docs.select(rest.alias("rest")).schema["rest"].dataType.simpleString()
-    done = _run(docs, id_col, text_col, bucket_bytes, [rest.alias("rest")], f"rest {kind}, text string")
+    rest = F.struct(*map(column, others)).alias("rest")
+    schema = T.StructType([docs.select(rest).schema["rest"], T.StructField("text", T.StringType())])
+    done = _run(docs, id_col, text_col, bucket_bytes, [rest], schema)
     back = done.select(*[(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c)) for c in docs.columns])
     return back.union(docs.filter(_idle(id_col, text_col)))
 

@@ -195,6 +195,8 @@ def test_a_line_in_every_document(spark):
     rows = [(r.randrange(10**6), f"{words(r, 12)} {line} {words(r, 12)}") for _ in range(150)]
     got = {x.doc_id: (x.n_bytes, bytes(x.kept)) for x in suffix_dedup.find_repeats(frame(spark, rows), bucket_bytes=3000, hot=3).collect()}
     assert got == repeats_brute(rows)
+    again = suffix_dedup.find_repeats(frame(spark, rows), bucket_bytes=3000, hot=3, fan=2)  # parts in groups, buckets in regions
+    assert {x.doc_id: (x.n_bytes, bytes(x.kept)) for x in again.collect()} == got
 
 
 def test_hot_and_null_ids_in_repeats(spark):
