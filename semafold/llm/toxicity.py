@@ -45,6 +45,7 @@ HIDDEN = str.maketrans("", "", "­​‌‍⁠﻿")
 _SUSPICIOUS = re.compile("[" + re.escape("".join([*LEET, *LOOKALIKE])) + "­​‌‍⁠﻿]|(.)\\1\\1|[^\\W\\d_][.\\-_*~]+[^\\W\\d_]")
 _SEPARATED = re.compile(r"(?:[^\s.\-_*~][.\-_*~]+){2,}[^\s.\-_*~]")
 _RUN, _ALL_DOUBLED = re.compile(r"([^\W\d_])\1+"), re.compile(r"(?:([^\W\d_])\1+){3,}")
+_TRIPLE = re.compile(r"(.)\1\1")
 _ALL_PAIRS = re.compile(r"(?:([^\W\d_])\1+)+")
 _EDGES, _SEPARATORS = "!.,;:?\"'()[]{}%&#*~-_<>=", ".-_*~"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -134,8 +135,20 @@ def readings(token: str, letters: np.ndarray, most: int = READINGS, drop: bool =
     return list(dict.fromkeys(s.strip() for _, s in found))[:most]
 
 
+def plain(word: str) -> str | None:
+    """A word of Latin-1 letters, with no run of three and not doubled throughout, stands for itself: its letters without runs. None for others."""
+    if not word.isalpha() or max(word) >= "Ā":
+        return None
+    if not _RUN.search(word):
+        return word
+    single = _RUN.sub(r"\1", word)
+    return single if 2 * len(single) > len(word) and not _TRIPLE.search(word) else None
+
+
 def restore(token: str, letters: np.ndarray) -> list[str]:
     """Readings of a lower-cased token; itself alone unless it is suspicious."""
+    if plain(token := token.strip(_EDGES)) is not None:
+        return [token]
     token = token.translate(HIDDEN).strip(_EDGES)
     if not token or not (_SUSPICIOUS.search(token) or _ALL_DOUBLED.fullmatch(token)):
         return [token]
@@ -181,12 +194,21 @@ class Evidence:
         self.inner = [w for w in self.whole if len(w) > 3]
         self.starts = {w[:n] for w in self.whole for n in range(1, len(w))}
         self.longest = max(map(len, self.whole), default=0)
+        self.heads = {f[:3] for f in lexicon}
         self.squeezed = {_RUN.sub(r"\1", w) for w in self.whole}
         self.formed, self.begins, self.held = {}, {}, 0
 
     def of(self, token: str) -> float:
         got = self.known.get(token)
-        if got is None:
+        if got is not None:
+            return got
+        single = plain(word := token.strip(_EDGES))
+        if single is not None and (len(single) == len(word) or single not in self.squeezed):
+            got = self.known[token] = max([self.lexicon[f] for f in features(word) if f in self.lexicon], default=0.0) if word[:3] in self.heads else 0.0
+            self.held += len(token) + _ENTRY
+            if word in self.starts and len(token) <= 2 * self.longest:
+                self.begins[token] = [word]
+        else:
             found = [self.lexicon.get(f, 0.0) for r in restore(token, self.letters) for f in features(r)]
             if _RUN.search(token):
                 for w in _WORD.findall(token):
@@ -323,20 +345,19 @@ def score_texts(docs: DataFrame, letters: np.ndarray, lexicon: dict[str, float],
     are (a column named score_col is replaced); an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() != score_col.lower()]
-    (text,) = fresh([*kept, score_col], "text")
     shared = docs.sparkSession.sparkContext.broadcast((letters, lexicon))  # 27 cubed numbers, and what SAMPLE rows give
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(*shared.value)
         for batch in slices(batches):
-            scores = [evidence.score(x or "") for x in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, score_col])
+            scores = [evidence.score(x or "") for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(scores, pa.float64())], names=["rest", "score"])
         del evidence
         released()
 
-    picked = docs.select(*map(column, kept), column(text_col).alias(text))
-    schema = T.StructType([*picked.schema.fields[:-1], T.StructField(score_col, T.DoubleType())])
-    return picked.mapInArrow(run, schema)
+    picked = docs.select(F.struct(*map(column, kept)).alias("rest"), column(text_col).alias("text"))  # whatever a caller's columns are called
+    scored = picked.mapInArrow(run, T.StructType([picked.schema["rest"], T.StructField("score", T.DoubleType())]))
+    return scored.select(*[F.col("rest")[c].alias(c) for c in kept], F.col("score").alias(score_col))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
