@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 256
+#: Bytes of an Arrow batch.
+BATCH = "4m"
 #: Rows of a survivor table: 2^18 words of 64 bits, so a broadcast of it has at most 262,144 rows (about 4 MB of longs).
 BIT_WORDS = 1 << 18
 #: Parts a key is dealt to before its totals meet, so that no task holds all rows of one key.
@@ -36,11 +38,28 @@ def scratch(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH bytes to and from Python: the JVM holds several of them for each running task,
+    outside its heap, and keeps the room. For applications, which own their session; operators leave it alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return spark
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: later jobs neither recompute it nor depend on executors' disks."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no frame still to be run reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -152,9 +171,10 @@ def components(links: DataFrame) -> DataFrame:
     In each round every node finds the smallest of its neighbours and itself, and all its neighbours are linked to that one
     instead, until the links are stars around the smallest ids. A hub is a hot key of the join: both its sides are written
     tables, so adaptive execution splits it. Nothing is gathered on the driver but a count and a checksum."""
-    stars, state = links.filter("u <> v").select("u", "v").distinct(), None
+    stars, state, done = links.filter("u <> v").select("u", "v").distinct(), None, []
     while True:
         stars = materialise(stars, "links")
+        discard(*done)
         now = stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == state or not now[0]:
             break
@@ -162,5 +182,8 @@ def components(links: DataFrame) -> DataFrame:
         both = stars.union(stars.select("v", "u"))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         told = both.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("v"), "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select("x.m", "x.v")
+        done = [stars, least]
         stars = told.filter("m <> v").select(F.col("m").alias("u"), "v").distinct()
-    return materialise(stars.select(F.col("v").alias("id"), F.col("u").alias("component")).union(stars.select("u", "u")).distinct(), "components")
+    out = materialise(stars.select(F.col("v").alias("id"), F.col("u").alias("component")).union(stars.select("u", "u")).distinct(), "components")
+    discard(stars)
+    return out

@@ -11,7 +11,7 @@ The probability of w after v is  PAIR * c(v, w) / c(v) + (1 - PAIR) * p(w)  (p(w
 word has the share that words seen once have of the training tokens; known words share the rest by their counts.
 
 The base score needs exact counts of every word. They are not gathered anywhere either: each bucket of documents asks the
-parts for the counts and levels of its distinct words, and for the levels of its distinct pairs.
+parts for the counts and levels of its distinct words, and for the levels of its distinct pairs, by way of exchange.py.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import dealt, materialise, released, releasing, text_bytes, total_bytes
+from semafold.llm.common import materialise, released, releasing, slices, text_bytes, total_bytes
+from semafold.llm.exchange import FAN, KEY, ROWS, SUB_ROWS, Exchange, Records
 from semafold.llm.shingles import mix, word_hashes
 
 #: Text of a bucket, and of a part of the hash space.
@@ -33,7 +36,7 @@ BITS_EACH, PROBES = 12, 4
 #: Levels are powers of BASE; weight of pairs in a probability.
 BASE, PAIR = 1.5, 0.2
 END = np.uint64(0x5851F42D4C957F2D)
-_C1, _C2, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 48) - 1)
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -44,12 +47,13 @@ def level(counts: np.ndarray) -> np.ndarray:
 VALUES = np.array([0.0] + [max(1.0, BASE ** (q - 0.5)) if q > 1 else 1.0 for q in range(1, 128)])
 
 
-def word_key(words: np.ndarray) -> np.ndarray:
-    return mix(words ^ _C2) & _KEY
+def word_code(words: np.ndarray) -> np.ndarray:
+    """64 bits that tell a word from others; the lower 48 are its key."""
+    return mix(words ^ _C2)
 
 
 def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * _C1 + right) & _KEY
+    return mix(left * _C1 + right) & KEY
 
 
 class Tokens:
@@ -63,93 +67,101 @@ class Tokens:
         self.first[np.cumsum(self.sizes) - self.sizes] = True
 
 
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+WORDS_KIND, PAIRS_KIND = 0, 1
+#: Tasks whose counts are put together where there are more parts than a task sends to.
+TASKS = 64
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def _bytes_of(*columns: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize) for c in columns], axis=1)
 
 
-def _by_part(keys: np.ndarray, counts: np.ndarray, parts: int, by: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(part, keys, counts), each part's in order of count."""
-    for p, at in dealt(((keys if by is None else by) % np.uint64(parts)).astype(np.int64)).items():
-        at = at[np.argsort(counts[at], kind="stable")]
-        yield p, keys[at], counts[at]
+def _counted(codes: np.ndarray, counts: np.ndarray, kind: int) -> tuple[np.ndarray, Records]:
+    """Keys and records of counts: what a word's code has beyond its key, and counts of up to 255 (larger ones take several)."""
+    times = np.maximum(1, -(-counts // 255))
+    codes, last = np.repeat(codes, times), np.cumsum(times) - 1
+    some = np.full(len(codes), 255, np.int64)
+    some[last] = counts - 255 * (times - 1)
+    rest = ((codes >> np.uint64(48)).astype("<u2"),) if kind == WORDS_KIND else ()
+    return codes & KEY, Records(_bytes_of(*rest, some.astype("u1")))
 
 
-WORDS_KIND, PAIRS_KIND = 0, 1
+def _uncounted(keys: np.ndarray, records: Records, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their total counts."""
+    fixed = np.ascontiguousarray(records.fixed)
+    codes = keys if kind == PAIRS_KIND else keys | (fixed[:, :2].copy().view("<u2").ravel().astype(np.uint64) << np.uint64(48))
+    found, which = np.unique(codes, return_inverse=True)
+    return found, np.bincount(which, fixed[:, -1], len(found)).astype(np.int64)
 
 
-def _count(parts: int):
-    """Per task: distinct words with counts, and distinct n-gram keys with counts, each to its part."""
+def _count(by_kind: tuple[Exchange, Exchange]):
+    """Per task: distinct words and pairs with counts, each to its group of parts."""
 
-    def rows(texts: list[bytes]) -> Iterator[tuple]:
+    def rows(texts: list[bytes]) -> pa.RecordBatch:
         tokens = Tokens(texts)
-        words, counts = np.unique(tokens.hashes, return_counts=True)
-        for p, k, c in _by_part(words, counts, parts, word_key(words)):
-            yield p, WORDS_KIND, k.tobytes(), c.astype("<u4").tobytes()
         inner = ~tokens.first[1:]
-        pairs, counts = np.unique(pair_key(tokens.hashes[:-1][inner], tokens.hashes[1:][inner]), return_counts=True)
-        for p, k, c in _by_part(pairs, counts, parts):  # in order of count, so that those seen once need none
-            yield p, PAIRS_KIND, _six(k), c[c > 1].astype("<u4").tobytes()
+        grams = (word_code(tokens.hashes), pair_key(tokens.hashes[:-1][inner], tokens.hashes[1:][inner]))
+        source, tables = TaskContext.get().partitionId() * (FAN // TASKS), []
+        for kind, (exchange, codes) in enumerate(zip(by_kind, grams, strict=True)):
+            table = exchange.rows(source, *_counted(*np.unique(codes, return_counts=True), kind))
+            tables.append(table.append_column("kind", pa.array([kind] * len(table), pa.int32())))
+        return pa.concat_tables(tables).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in text_bytes(batch, "text"):
                 held.append(text)
                 size += len(text)
                 if size > BUCKET_BYTES:
-                    yield _batch(rows(held))
+                    yield rows(held)
                     held, size = [], 0
         if held:
-            yield _batch(rows(held))
+            yield rows(held)
         del held
         released()
 
-    def _batch(found: Iterator[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "kind", "keys", "counts"])
-
     return run
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found, which = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(which, np.concatenate(counts), len(found)).astype(np.int64)
+def _merge(by_kind: tuple[Exchange, Exchange]):
+    """What the tasks of a region found for a group of parts, summed and dealt on to the parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        keys, records, _ = by_kind[kind].read(table)
+        out = by_kind[kind].dealt_on(table, table.column("region")[0].as_py(), *_counted(*_uncounted(keys, records, kind), kind))
+        return out.append_column("kind", pa.array([kind] * len(out), pa.int32()))
+
+    return run
 
 
-def _total(table: pa.Table) -> pa.Table:
+def _total(by_kind: tuple[Exchange, Exchange]):
     """A part's exact word counts, and its block of the filter."""
-    kinds = np.array(table.column("kind").to_pylist())
-    blobs = list(zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True))
-    own = [b for k, b in zip(kinds, blobs, strict=True) if k == WORDS_KIND]
-    words, counts = _summed([np.frombuffer(k, np.uint64) for k, _ in own], [np.frombuffer(c, "<u4") for _, c in own])
-    keys, sums = [], []
-    for b in (b for k, b in zip(kinds, blobs, strict=True) if k == PAIRS_KIND):
-        keys.append(_from_six(b[0]))
-        more = np.frombuffer(b[1], "<u4")
-        sums.append(np.concatenate((np.ones(len(keys[-1]) - len(more), np.int64), more)))
-    pairs, seen = _summed(keys, sums)
-    keys, levels = np.concatenate((word_key(words), pairs)), np.concatenate((level(counts), level(seen)))
-    inserts = int(levels.sum())
-    bits = max(1024, 1 << (max(1, inserts * BITS_EACH) - 1).bit_length())
-    cells = {
-        "part": (table.column("part")[0].as_py(), pa.int64()), "words": (words.tobytes(), pa.binary()), "counts": (counts.tobytes(), pa.binary()),
-        "block": (Filter(1, bits).build(keys, levels), pa.binary()), "inserts": (inserts, pa.int64()),
-        "tokens": (int(counts.sum()), pa.int64()), "types": (len(words), pa.int64()), "once": (int((counts == 1).sum()), pa.int64()),
-        "mass": (float(VALUES[level(counts)].sum()) if len(counts) else 0.0, pa.float64()),
-    }
-    return pa.table({k: pa.array([v], t) for k, (v, t) in cells.items()})
-
-
-TOTALS = "part long, words binary, counts binary, block binary, inserts long, tokens long, types long, once long, mass double"
+
+    def run(table: pa.Table) -> pa.Table:
+        found = []
+        for kind, exchange in enumerate(by_kind):
+            own = table.filter(pc.equal(table.column("kind"), kind))
+            keys, records, _ = exchange.read(own) if len(own) else (np.zeros(0, np.uint64), Records(np.zeros((0, exchange.width), np.uint8)), None)
+            found.append(_uncounted(keys, records, kind))
+        (words, counts), (pairs, seen) = found
+        keys, levels = np.concatenate((words & KEY, pairs)), np.concatenate((level(counts), level(seen)))
+        inserts = int(levels.sum())
+        bits = max(1024, 1 << (max(1, inserts * BITS_EACH) - 1).bit_length())
+        cells = {
+            "part": (table.column("part")[0].as_py(), pa.int64()), "sub": (table.column("sub")[0].as_py(), pa.int64()),
+            "words": (words.tobytes(), pa.binary()), "counts": (counts.tobytes(), pa.binary()),
+            "block": (Filter(1, bits).build(keys, levels), pa.binary()), "inserts": (inserts, pa.int64()),
+            "tokens": (int(counts.sum()), pa.int64()), "types": (len(words), pa.int64()), "once": (int((counts == 1).sum()), pa.int64()),
+            "mass": (float(VALUES[level(counts)].sum()) if len(counts) else 0.0, pa.float64()),
+        }
+        return pa.table({k: pa.array([v], t) for k, (v, t) in cells.items()})
+
+    return run
+
+
+TOTALS = "part long, sub long, words binary, counts binary, block binary, inserts long, tokens long, types long, once long, mass double"
 
 
 class Filter:
@@ -187,76 +199,70 @@ class Filter:
 class Model:
     """Totals of the training texts."""
 
-    def __init__(self, totals: DataFrame, parts: int):
+    def __init__(self, totals: DataFrame, parts: int, fan: int):
         sums = totals.agg(*[F.sum(c) for c in ("tokens", "types", "once", "mass")]).first()
         self.tokens, self.types, once, mass = (x or 0 for x in sums)
         self.parts = parts
+        self.exchange = Exchange(parts, 3, fan=fan, answers=("u1", "<i8"))
         self.unknown = min(0.5, max(once, 1) / max(self.tokens, 1))  # what words seen once hint is new
         self.mass = max(mass, 1.0)
 
 
-def train(docs: DataFrame, text_col: str = "text", parts: int | None = None) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text_col: str = "text", parts: int | None = None, fan: int = FAN) -> tuple[Model, DataFrame]:
     """The model of all texts of docs, and the parts with exact word counts and filter blocks."""
     parts = parts or max(1, -(-total_bytes(docs, text_col) // BUCKET_BYTES))
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(parts), "part long, kind int, keys binary, counts binary")
-    totals = materialise(counted.groupBy("part").applyInArrow(releasing(_total), TOTALS), "lm-totals")
-    return Model(totals, parts), totals.select("part", "words", "counts", "block")
+    by_kind = Exchange(parts, 3, fan=fan), Exchange(parts, 1, fan=fan)
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(by_kind), f"{ROWS}, kind int")
+    if by_kind[0].subs > 1:
+        merged = by_kind[0].region(counted).groupBy("part", "region", "kind").applyInArrow(releasing(_merge(by_kind)), f"{SUB_ROWS}, kind int")
+    else:
+        merged = counted.withColumn("sub", F.lit(0).cast("long"))
+    totals = materialise(merged.groupBy("part", "sub").applyInArrow(releasing(_total(by_kind)), TOTALS), "lm-totals")
+    return Model(totals, parts, fan), totals.select("part", "sub", "words", "counts", "block")
 
 
 class Grams:
-    """Tokens of a bucket, its distinct words and pairs, and how they are dealt to parts. The order of the rows has no effect on the last."""
+    """Tokens of a bucket, and its distinct words and pairs. The order of the rows has no effect on the last."""
 
-    def __init__(self, table: pa.Table, parts: int):
+    def __init__(self, table: pa.Table):
         self.tokens = Tokens([b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()])
-        self.words, self.which = np.unique(self.tokens.hashes, return_inverse=True)
+        words, self.which = np.unique(word_code(self.tokens.hashes), return_inverse=True)
         self.inner = np.flatnonzero(~self.tokens.first)
-        self.pairs, self.which_pair = np.unique(pair_key(self.tokens.hashes[self.inner - 1], self.tokens.hashes[self.inner]), return_inverse=True)
-        self.by_word, self.by_pair = (dealt((keys % np.uint64(parts)).astype(np.int64)) for keys in (word_key(self.words), self.pairs))
+        pairs, self.which_pair = np.unique(pair_key(self.tokens.hashes[self.inner - 1], self.tokens.hashes[self.inner]), return_inverse=True)
+        self.words, self.keys = len(words), np.concatenate((words & KEY, pairs))
+        rest = np.concatenate((words >> np.uint64(48), np.zeros(len(pairs), np.uint64))).astype("<u2")
+        self.records = Records(_bytes_of(rest, np.repeat([WORDS_KIND, PAIRS_KIND], [len(words), len(pairs)]).astype("u1")))
 
 
-def _ask(parts: int):
+def _ask(model: Model):
     def run(table: pa.Table) -> pa.Table:
-        held = Grams(table, parts)
-        b = table.column("bucket")[0].as_py()
-        none = np.zeros(0, np.int64)
-        rows = [(p, b, held.words[held.by_word.get(p, none)].tobytes(), _six(held.pairs[held.by_pair.get(p, none)])) for p in held.by_word.keys() | held.by_pair.keys()]
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "bucket", "words", "pairs"])
+        held = Grams(table)
+        return model.exchange.rows(table.column("bucket")[0].as_py(), held.keys, held.records)
 
     return run
 
 
-ANSWERS = "bucket long, part long, counts binary, levels binary, pairs binary"
-
-
-def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """For each question to a part: counts and levels of its words, and levels of its pairs, in the order asked."""
-    words = np.frombuffer(held.column("words")[0].as_py(), np.uint64) if len(held) else np.zeros(0, np.uint64)
-    counts = np.frombuffer(held.column("counts")[0].as_py(), np.int64) if len(held) else np.zeros(0, np.int64)
+def _answer(keys: np.ndarray, records: Records, held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The level of each key, and the exact counts of words."""
+    words, counts = (np.frombuffer(held.column(c)[0].as_py(), k) if len(held) else np.zeros(0, k) for c, k in (("words", np.uint64), ("counts", np.int64)))
     block = np.frombuffer(held.column("block")[0].as_py(), np.uint8) if len(held) else np.zeros(128, np.uint8)
-    found = Filter(1, 8 * len(block), block)
-    out, levels, pairs = [], [], []
-    for blob, keys in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist(), strict=True):
-        want = np.frombuffer(blob, np.uint64)
-        at = np.minimum(np.searchsorted(words, want), max(0, len(words) - 1))
-        got = np.where(words[at] == want, counts[at], 0) if len(words) else np.zeros(len(want), np.int64)
-        out.append(got.astype("<i8").tobytes() if got.max(initial=0) >= 1 << 32 else got.astype("<u4").tobytes())
-        levels.append(found.levels(word_key(want)).astype("u1").tobytes())
-        pairs.append(found.levels(_from_six(keys)).astype("u1").tobytes())
-    return pa.table({"bucket": asked.column("bucket"), "part": asked.column("part"), "counts": pa.array(out, pa.binary()), "levels": pa.array(levels, pa.binary()), "pairs": pa.array(pairs, pa.binary())})
+    exact, own = np.zeros(len(keys), np.int64), np.flatnonzero(records.fixed[:, 2] == WORDS_KIND)
+    if len(words) and len(own):
+        want = keys[own] | (records.fixed[own, :2].copy().view("<u2").ravel().astype(np.uint64) << np.uint64(48))
+        at = np.minimum(np.searchsorted(words, want), len(words) - 1)
+        exact[own] = np.where(words[at] == want, counts[at], 0)
+    return Filter(1, 8 * len(block), block).levels(keys), exact
 
 
 def _score(model: Model):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = Grams(left, model.parts)
-        tokens, which, inner, none = held.tokens, held.which, held.inner, np.zeros(0, np.int64)
-        exact, estimated, seen = np.zeros(len(held.words), np.int64), np.zeros(len(held.words)), np.zeros(len(held.pairs))
-        for part, counts, levels, pairs in zip(*[right.column(c).to_pylist() for c in ("part", "counts", "levels", "pairs")], strict=True):
-            own, pairs_own = held.by_word.get(part, none), held.by_pair.get(part, none)
-            exact[own] = np.frombuffer(counts, "<u4" if len(counts) == 4 * len(own) else "<i8")
-            estimated[own] = VALUES[np.frombuffer(levels, "u1")]
-            seen[pairs_own] = VALUES[np.frombuffer(pairs, "u1")]
+        held = Grams(left)
+        tokens, which, inner = held.tokens, held.which, held.inner
+        counts, levels, places = np.zeros(len(held.keys), np.int64), np.zeros(len(held.keys), np.int64), model.exchange.group_of(held.keys)
+        for group, answers in zip(right.column("part").to_pylist(), right.column("answers").to_pylist(), strict=True):
+            at = places[group]
+            levels[at], counts[at] = model.exchange.columns(answers, len(at))
+        exact, estimated, seen = counts[: held.words], np.minimum(VALUES[levels[: held.words]], model.mass), VALUES[levels[held.words :]]
         begins = np.cumsum(tokens.sizes) - tokens.sizes
         base = np.log10((exact + 1.0) / (model.tokens + model.types + 1.0))
         single = (1 - model.unknown) * estimated / model.mass
@@ -286,9 +292,8 @@ def score(docs: DataFrame, model: Model, word_counts: DataFrame, held_out: Colum
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets))  # an id with many texts has them in many buckets
     given = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     shares = max(1, buckets // model.parts)  # a small model is asked by many buckets: each part answers in as many tasks
-    asked = given.groupBy("bucket").applyInArrow(releasing(_ask(model.parts)), "part long, bucket long, words binary, pairs binary").withColumn("share", F.col("bucket") % shares)
-    held = word_counts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    answers = asked.groupBy("part", "share").cogroup(held.groupBy("part", "share")).applyInArrow(releasing(_answer), ANSWERS)
+    asked = given.groupBy("bucket").applyInArrow(releasing(_ask(model)), ROWS)
+    answers = model.exchange.answered(asked, _answer, word_counts, shares)
     out = given.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(releasing(_score(model)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 

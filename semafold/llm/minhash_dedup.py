@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semafold.llm.common import components, materialise, released, slices, survivor_bits, text_bytes, with_survivor_flag, without
+from semafold.llm.common import components, discard, materialise, released, slices, survivor_bits, text_bytes, with_survivor_flag, without
 from semafold.llm.shingles import WORDS, mix, shingle_set
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -95,9 +95,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words:
         released()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ids = materialise(ids, "ids")
+    ids = materialise(ids, "ids")  # of candidates
     near = with_survivor_flag(picked, survivor_bits(ids, F.col("id")), F.col("id"), "f").filter("f").select("id", "text")
-    return materialise(near.mapInArrow(run, "id long, n long, s array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    out = materialise(near.mapInArrow(run, "id long, n long, s array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    discard(ids)
+    return out
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -123,7 +125,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, wor
     both = pairs.join(left, "u").join(right, "v")  # written tables on either side: adaptive execution splits a hot pivot
     common = F.size(F.array_intersect("su", "sv"))
     percent = round(100 * threshold)
-    return both.withColumn("i", common.cast("long")).filter(f"100 * i >= {percent} * (nu + nv - i)").select("u", "v")
+    out = materialise(both.withColumn("i", common.cast("long")).filter(f"100 * i >= {percent} * (nu + nv - i)").select("u", "v"), "confirmed")
+    discard(sets)
+    return out
 
 
 def cross_links(members: DataFrame, threshold: float, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -193,22 +197,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = reps.select("id", "sig")
     signed = pairs.join(sigs.toDF("u", "su"), "u").join(sigs.toDF("v", "sv"), "v")
     near = materialise(signed.filter(estimate(F.col("su"), F.col("sv")) >= threshold - MARGIN).select("u", "v"), "near-pairs")
-    labels = components(confirmed(docs, near, id_col, text_col, words, threshold))
+    sure = confirmed(docs, near, id_col, text_col, words, threshold)
+    labels = components(sure)
+    discard(keys, pairs, near, reps, sure)
 
     inner = shared.filter("c > 2 and id <> lo and id <> hi").select("key", "id")
     inner = inner.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     inner = materialise(inner, "inner")
     spread = inner.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("a <> b")
     spread = materialise(spread.groupBy("c", "sum").agg(F.min("key").alias("key")).select("key"), "spread")  # keys with the same members are one
+    done = [shared, inner, spread]
     if not spread.isEmpty():
         members = materialise(inner.join(spread, "key"), "members")
         sets = sets_of(docs, members.select("id").distinct(), id_col, text_col, words)
         further = materialise(cross_links(members.join(sets.select("id", "s"), "id"), threshold, block), "links")
+        done += [members, sets, further]
         if not further.isEmpty():
+            done.append(labels)
             labels = components(labels.select(F.col("component").alias("u"), F.col("id").alias("v")).union(further))
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    linked = full.select("id", "n", "digest").join(materialise(of_class, "class-components"), "digest").select("id", "n", "component_id")
+    of_class = materialise(of_class, "class-components")
+    discard(*done, classes, labels)
+    linked = full.select("id", "n", "digest").join(of_class, "digest").select("id", "n", "component_id")
     out = linked.union(rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.expr("id <=> component_id").alias("kept"))
 
