@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semafold.functions.signatures import Function
 from semafold.operators.joins import lookup, union_sources
 from semafold.operators.logic import COMPARE
 
@@ -75,6 +76,10 @@ class Catalog:
         self.computed[type_] = (needs, of)
         return self
 
+    def function(self, f: Function) -> Catalog:
+        """A type that a declared function gives wherever what it takes is at hand."""
+        return self.expression(f.gives, f.takes, f)
+
     def close(self, type_: str) -> Catalog:
         """Objects of a closed type come from a source as they are; they are never built from parts."""
         self.closed.add(type_)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from semafold.operators.joins import lookup
 from semafold.plans.tables import table
 from semafold.queries import registered
+from semafold.queries.sources import DERBY
 from semafold.sources import readers, sinks
 from semafold.streaming import streams
 
@@ -102,6 +104,28 @@ def pipeline_fanout(spark: SparkSession, d: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'big', count(*) FROM events WHERE value > 50")
+def stream_shared(spark: SparkSession, d: str) -> DataFrame:
+    """One subscription, several queries: the source is read once for all of them."""
+    path = readers.scratch(spark, "shared")
+    kinds = lambda batch: batch.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    big = lambda batch: batch.filter("value > 50").agg(F.lit("big").alias("kind"), F.count("*").alias("n"))
+    write = lambda name, of: lambda batch, number: of(batch).write.mode("overwrite").parquet(f"{path}/query={name}/batch={number}")
+    streams.fan_out(_events(spark, d), [write("kinds", kinds), write("big", big)])
+    return spark.read.parquet(path).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'view'")
+def pipeline_to_database(spark: SparkSession, d: str) -> DataFrame:
+    """A stream's batches to a database table, read back from there; a batch that is run again replaces its rows."""
+    url = f"jdbc:derby:memory:events-{uuid.uuid4().hex};create=true"
+    write = lambda batch, number: sinks.write_jdbc(batch, url, f"batch_{number}", mode="overwrite", properties=DERBY)
+    numbers: list[int] = []
+    streams.fan_out(_events(spark, d).filter("event_type <> 'view'").select("event_id", "event_type"), [write, lambda batch, number: numbers.append(number)])
+    found = [readers.read_jdbc(spark, url, f"batch_{n}", DERBY) for n in numbers]
+    return streams.union_streams(found).select("event_id", "event_type")
+
+
 @query("SELECT 'from 2020-01-02T00:00:00+00:00 at 2020-01-03 04:05:06' AS text")
 def pipeline_variables(spark: SparkSession, d: str) -> DataFrame:
     last, now = datetime(2020, 1, 2, tzinfo=timezone.utc), datetime(2020, 1, 3, 4, 5, 6, tzinfo=timezone.utc)

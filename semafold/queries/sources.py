@@ -75,6 +75,13 @@ def json_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", readers.json_document(F.col("props"), "k long").alias("doc"))
 
 
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, length(props) AS size FROM events")
+def destructure_accessor(spark: SparkSession, d: str) -> DataFrame:
+    """One source, read once, gives several fields."""
+    parts = F.struct(readers.json_path(F.col("props"), "$.k", "long").alias("k"), F.length("props").alias("size"))
+    return table(spark, d, "events").select("event_id", parts.alias("p")).select("event_id", "p.*")
+
+
 def _xml(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     return n.select("n_nationkey", F.format_string("<nation id='%d'><name>%s</name><region>%d</region></nation>", "n_nationkey", "n_name", "n_regionkey").alias("xml"))

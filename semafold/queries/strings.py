@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semafold.functions import strings as s
-from semafold.plans.tables import table
+from semafold.functions.signatures import Function
+from semafold.plans.tables import catalog, table
 from semafold.queries import registered
 from semafold.queries.operators import LABELLED, labelled
 
@@ -72,6 +73,21 @@ def udf_custom(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.expr("backwards(p_name)").alias("r"))
 
 
+@query("SELECT p_partkey AS id, p_brand || '/' || p_size AS label, 'label(PartBrand, PartSize): PartLabel' AS says FROM part")
+def udf_described(spark: SparkSession, d: str) -> DataFrame:
+    """A function that declares its types is found by the type it gives."""
+    label = Function("label", ("PartBrand", "PartSize"), "PartLabel", lambda brand, size: F.concat_ws("/", brand, size))
+    rows = catalog(spark, d, "part").function(label).find("Part")
+    return rows.project({"id": "PartKey", "label": "PartLabel"}, strict=True).withColumn("says", F.lit(label.declaration))
+
+
+@query(f"SELECT d.doc_id, CASE WHEN quality IS NOT NULL THEN lang || '-' || quality END AS r FROM {LABELLED}")
+def udf_null_safe(spark: SparkSession, d: str) -> DataFrame:
+    """Null in any argument gives null, though the function itself would skip it."""
+    tag = Function("tag", ("Lang", "Quality"), "Tag", lambda lang, quality: F.concat_ws("-", lang, quality))
+    return labelled(spark, d).select("doc_id", tag(F.col("lang"), F.col("quality").cast("long")).alias("r"))
+
+
 @query("SELECT n_nationkey, n_name || ' (' || n_regionkey || ')' AS r FROM nation")
 def callback_udf(spark: SparkSession, d: str) -> DataFrame:
     """A user's function over whole Arrow batches of an operation's input."""
