@@ -156,6 +156,20 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return sinks.upsert(current, changes.unionByName(new), "c_custkey")
 
 
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -1, 5.0")
+def jdbc_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A table created from a type, filled, and merged into by key."""
+    url = f"jdbc:derby:memory:upsert-{uuid.uuid4().hex};create=true"
+    customers = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    current = customers.select("c_custkey", "c_acctbal")
+    sinks.create_table(current, url, "balances", "c_custkey")
+    sinks.write_jdbc(current, url, "balances", properties=DERBY)
+    changes = customers.filter("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(0.0).alias("c_acctbal"))
+    new = spark.range(1).select(F.lit(-1).cast("long").alias("c_custkey"), F.lit(5.0).alias("c_acctbal"))
+    sinks.upsert_into(changes.unionByName(new), url, "balances", "c_custkey", DERBY)
+    return readers.read_jdbc(spark, url, "balances", DERBY)
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
 def recreate_view(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier")
