@@ -27,14 +27,19 @@ ROWS = "part long, bucket long, keys binary, records binary"
 SUB_ROWS = "part long, bucket long, sub long, keys binary, records binary"
 
 
-def six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as the first and the steps to the next ones, which take four bytes but for rare exceptions."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = 4 if not len(steps) or steps.max() < 1 << 32 else 8
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype(f"<u{width}").tobytes()
 
 
-def from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def unpack_keys(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(data, "<u8", 1, 1), np.frombuffer(data, f"<u{data[0]}", -1, 9))), dtype=np.uint64)
 
 
 @dataclass
@@ -91,29 +96,40 @@ class Exchange:
         return -(-self.parts // self.groups)
 
     def group_of(self, keys: np.ndarray) -> dict[int, np.ndarray]:
-        """For each group that any key belongs to, the places of its keys."""
-        return dealt((keys % np.uint64(self.groups)).astype(np.int64))
+        """For each group that any key belongs to, the places of its keys, in their order."""
+        order = np.argsort(keys, kind="stable")
+        return {g: order[at] for g, at in dealt((keys[order] % np.uint64(self.groups)).astype(np.int64)).items()}
 
     def sub_of(self, keys: np.ndarray) -> dict[int, np.ndarray]:
-        return dealt((keys // np.uint64(self.groups) % np.uint64(self.subs)).astype(np.int64))
+        """For each part of the keys' group that any key belongs to, the places of its keys, in their order."""
+        order = np.argsort(keys, kind="stable")
+        return {s: order[at] for s, at in dealt((keys[order] // np.uint64(self.groups) % np.uint64(self.subs)).astype(np.int64)).items()}
+
+    def packed_keys(self, keys: np.ndarray) -> bytes:
+        """Keys of one group: what is left of them beside the group."""
+        return pack_keys(keys // np.uint64(self.groups))
+
+    def keys_of(self, table: pa.Table) -> list[np.ndarray]:
+        rows = zip(table.column("keys").to_pylist(), table.column("part").to_pylist(), strict=True)
+        return [unpack_keys(x) * np.uint64(self.groups) + np.uint64(g) for x, g in rows]
 
     def rows(self, bucket: int, keys: np.ndarray, records: Records | None = None) -> pa.Table:
         """A bucket's questions, a row for each group."""
         records = records or Records(np.zeros((len(keys), 0), np.uint8))
-        found = [(g, bucket, six(keys[at]), records.take(at).pack()) for g, at in self.group_of(keys).items()]
+        found = [(g, bucket, self.packed_keys(keys[at]), records.take(at).pack()) for g, at in self.group_of(keys).items()]
         kinds = {"part": pa.int64(), "bucket": pa.int64(), "keys": pa.binary(), "records": pa.binary()}
         return pa.table({k: pa.array([r[i] for r in found], kind) for i, (k, kind) in enumerate(kinds.items())})
 
     def read(self, table: pa.Table) -> tuple[np.ndarray, Records, np.ndarray]:
         """Keys and records of all rows, and where each row ends."""
-        keys = [from_six(x) for x in table.column("keys").to_pylist()]
+        keys = self.keys_of(table)
         held = [Records.unpack(len(k), x, self.width, self.texts) for k, x in zip(keys, table.column("records").to_pylist(), strict=True)]
         return np.concatenate(keys), Records.joined(held), np.cumsum([len(k) for k in keys])
 
     def dealt_on(self, table: pa.Table, region: int, keys: np.ndarray, records: Records) -> pa.Table:
         """Rows for the parts of a group; `bucket` is the region then."""
         group = table.column("part")[0].as_py()
-        out = [(group, region, s, six(keys[at]), records.take(at).pack()) for s, at in self.sub_of(keys).items()]
+        out = [(group, region, s, self.packed_keys(keys[at]), records.take(at).pack()) for s, at in self.sub_of(keys).items()]
         kinds = {"part": pa.int64(), "bucket": pa.int64(), "sub": pa.int64(), "keys": pa.binary(), "records": pa.binary()}
         return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate(kinds.items())})
 
@@ -172,8 +188,8 @@ class Exchange:
             out: list[bytes] = []
             if len(asked):
                 asked = asked.sort_by("bucket")
-                sizes = [len(x) // 6 for x in asked.column("keys").to_pylist()]
-                keys = from_six(b"".join(asked.column("keys").to_pylist()))
+                each = self.keys_of(asked)
+                sizes, keys = [len(x) for x in each], np.concatenate(each)
                 places = self.sub_of(keys)
                 data = dict(zip(answers.column("sub").to_pylist(), answers.column("answers").to_pylist(), strict=True))
                 whole = tuple(np.empty(len(keys), k) for k in self.answers)
