@@ -33,8 +33,9 @@ from semafold.llm.exchange import FAN, KEY, ROWS, Exchange, Records
 from semafold.llm.shingles import mix, powers
 
 MATCH, KGRAM = 50, 20
-#: Text of a bucket, which a task holds at a time (a longer document is a bucket's load of its own), and of a part.
-BUCKET_BYTES, PART_BYTES = 6 << 20, 3 << 20
+#: Text of a bucket, which a task holds at a time (a longer document is a bucket's load of its own); of a part that gets its first
+#: occurrences; and of a part that gets its minimizers and hashes, which are a small share of it.
+BUCKET_BYTES, PART_BYTES, KEY_BYTES = 6 << 20, 4 << 20, 16 << 20
 #: First occurrences with one minimizer that a part takes whole.
 HOT = 4096
 _SPAN = MATCH - KGRAM + 1
@@ -214,14 +215,14 @@ def _in_doubt(left: pa.Table, right: pa.Table, exchange: Exchange) -> Bucket:
     return bucket
 
 
-def _stretches(exchange: Exchange):
+def _stretches(one: Exchange, two: Exchange):
     """2. To each part the distinct stretches in doubt, by document."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return exchange.rows(0, np.zeros(0, np.uint64))
-        bucket = _in_doubt(left, right, exchange)
-        return exchange.rows(_number(left), bucket.small[bucket.first], Records(_bytes_of(bucket.content, bucket.doc[bucket.first])))
+            return two.rows(0, np.zeros(0, np.uint64))
+        bucket = _in_doubt(left, right, one)
+        return two.rows(_number(left), bucket.small[bucket.first], Records(_bytes_of(bucket.content, bucket.doc[bucket.first])))
 
     return run
 
@@ -248,16 +249,16 @@ def _verdicts(hot: int):
     return reply
 
 
-def _texts(exchange: Exchange):
+def _texts(one: Exchange, two: Exchange, three: Exchange):
     """3. To each part the first occurrences in doubt. Their places, and the spans that are settled, are for the last step."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = _told(right, 2) if len(right) else []
         if not len(left) or not told:
-            return exchange.rows(0, np.zeros(0, np.uint64)).append_column("extra", pa.array([], pa.binary()))
-        bucket = _in_doubt(left, right, exchange)
+            return three.rows(0, np.zeros(0, np.uint64)).append_column("extra", pa.array([], pa.binary()))
+        bucket = _in_doubt(left, right, one)
         first, verdict = bucket.first, np.zeros(len(bucket.first), np.uint8)
-        own = exchange.group_of(bucket.small[first])
+        own = two.group_of(bucket.small[first])
         for group, answers in told:
             verdict[own[group]] = np.frombuffer(answers, np.uint8)
         of = verdict[bucket.which]
@@ -279,16 +280,16 @@ def _texts(exchange: Exchange):
         new = np.concatenate(([True], (np.diff(rep) != 0) | (np.diff(offset) != 0))) if len(at) else np.zeros(0, bool)
         owner, sizes = np.cumsum(new) - 1, counts[new] + (MATCH - 1)
         texts = bucket.text[np.repeat(at[new] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-        rows = exchange.rows(_number(left), key[new], Records(_bytes_of(bucket.doc[first[rep[new]]]), texts, sizes))
+        rows = three.rows(_number(left), key[new], Records(_bytes_of(bucket.doc[first[rep[new]]]), texts, sizes))
         local, group = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-        for g, x in exchange.group_of(key[new]).items():
+        for g, x in three.group_of(key[new]).items():
             local[x], group[x] = np.arange(len(x)), g
         of_group = dealt(group[owner])
         extra = [_blob(np.stack([at[of_group[g]], local[owner[of_group[g]]]], axis=1)) for g in rows.column("part").to_pylist()]
         rows = rows.append_column("extra", pa.array(extra, pa.binary()))
         none = Records(np.zeros((0, 8), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.int64)).pack()
         number = _number(left)
-        last = {"part": [number % exchange.groups], "bucket": [number], "keys": [b""], "records": [none], "extra": [_blob(settled)]}
+        last = {"part": [number % three.groups], "bucket": [number], "keys": [b""], "records": [none], "extra": [_blob(settled)]}
         return pa.concat_tables([rows, pa.table(last, schema=rows.schema)])
 
     return run
@@ -348,14 +349,14 @@ def _idle(id_col: str, text_col: str) -> Column:
 def _run(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, more: list, schema: str | T.StructType, hot: int = HOT, fan: int = FAN) -> DataFrame:
     docs = docs.filter(~_idle(id_col, text_col))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets, parts = max(1, -(-total // bucket_bytes)), max(1, -(-total // min(bucket_bytes, PART_BYTES)))
-    one, two, three = Exchange(parts, fan=fan), Exchange(parts, 24, fan=fan), Exchange(parts, 8, True, fan, ("<u4",))
+    buckets, keys, parts = (max(1, -(-total // size)) for size in (bucket_bytes, min(3 * bucket_bytes, KEY_BYTES), min(bucket_bytes, PART_BYTES)))
+    one, two, three = Exchange(keys, fan=fan), Exchange(keys, 24, fan=fan), Exchange(parts, 8, True, fan, ("<u4",))
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(buckets))  # an id with many texts has them in many buckets
     given = docs.select(key.alias("bucket"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more).groupBy("bucket")
     bits = one.answered(given.applyInArrow(releasing(_minimizers(one)), ROWS), _shared).withColumn("step", F.lit(1))
-    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(releasing(_stretches(two)), ROWS)
+    stretches = given.cogroup(bits.groupBy("bucket")).applyInArrow(releasing(_stretches(one, two)), ROWS)
     told = bits.union(two.answered(stretches, _verdicts(hot)).withColumn("step", F.lit(2)))
-    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(releasing(_texts(three)), ROWS + ", extra binary")
+    doubt = given.cogroup(told.groupBy("bucket")).applyInArrow(releasing(_texts(one, two, three)), ROWS + ", extra binary")
     return given.cogroup(three.answered(doubt, _factors).groupBy("bucket")).applyInArrow(releasing(_last_pass), schema)
 
 
