@@ -25,7 +25,7 @@ WINDOW = 1024
 #: Pieces that one task packs at most, but for chance. A share of this size leaves well under one window in a hundred unfilled.
 SHARE = 20_000
 #: Bytes of pieces of text, with what comes with each, that a worker remembers before it starts afresh.
-MEMO_BYTES, _ENTRY = 32 << 20, 160
+MEMO_BYTES, _ENTRY = 48 << 20, 160
 _SPACES = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -121,22 +121,18 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if _SPACES.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]]
-        known = self.known
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            pass
+        first, *words = text.split(" ")
+        known = self.known  # ids of each word with the space before it
         if self.held > self.memo:
             known.clear()
             self.held = 0
-        encode = self.latin.encode_ordinary
-        for x in pieces:
-            if x not in known:
-                got = known[x] = array("I", encode(x)).tobytes() if not x or max(x) < "\u0250" else self.whole(x)
-                self.held += len(x) + len(got) + _ENTRY
-        return b"".join([known[x] for x in pieces])
+        for x in set(words).difference(known):
+            got = known[x] = self.piece(" " + x)
+            self.held += len(x) + len(got) + _ENTRY
+        return self.piece(first) + b"".join(map(known.__getitem__, words))
+
+    def piece(self, x: str) -> bytes:
+        return array("I", self.latin.encode_ordinary(x)).tobytes() if not x or max(x) < "\u0250" else self.whole(x)
 
 
 _ENCODERS: dict[str, Encoder] = {}
