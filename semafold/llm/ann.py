@@ -32,8 +32,9 @@ SUBSPACES, CODES, ROUNDS = 16, 256, 8
 RERANK = 256
 #: Share of a sample's true neighbours that the number of visited cells is chosen to reach, on so many of its vectors.
 RECALL, TRIED = 0.96, 256
-#: Vectors that one task searches at a time, and queries that visit them; rows of a matrix of distances that is held at a time.
-BLOCK, VISITORS, STRIP = 8192, 4096, 256
+#: Vectors that one task searches at a time (a table of fewer than SPLIT times as many is dealt to about SPLIT blocks), and queries
+#: that visit them; rows of a matrix of distances that is held at a time.
+BLOCK, SPLIT, VISITORS, STRIP = 8192, 32, 4096, 256
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -224,13 +225,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     sizes = np.zeros(len(index.centres), np.int64)
     for cell, n in placed.groupBy("cell").agg(F.count("*")).collect():  # a row a cell: MOST_CELLS at most
         sizes[cell] = n
-    spread = -(-sizes // BLOCK)  # blocks of a large cell; small ones share a block
+    size = min(BLOCK, max(512, total // SPLIT))
+    spread = -(-sizes // size)  # blocks of a large cell; small ones share a block
     first, at, room = np.zeros(len(sizes), np.int64), -1, 0
     for cell, n in enumerate(sizes.tolist()):
         if n > room:
-            at, room = at + 1, BLOCK
+            at, room = at + 1, size
         first[cell] = at
-        if n > BLOCK:
+        if n > size:
             at, room = at + int(spread[cell]) - 1, 0
         else:
             room -= n
